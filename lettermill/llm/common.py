@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; a text may be long, so that a batch holds a few MB.
-BATCH_ROWS = 2000
+#: Bytes of the rows that a Python function is given at a time.
+SLICE_BYTES = 1 << 20
 #: Largest table, in bytes as counted row by row, that is ever broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -51,22 +51,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply f to each Arrow batch; it returns the columns of schema as arrays."""
+    """Apply f to slices of about a megabyte of each Arrow batch; it returns the columns of schema as arrays."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(f(batch))
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pydict(f(batch.slice(at, rows)))
 
     return df.mapInArrow(over, schema)
 
 
-def spread(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Round-robin over the cores if a small input has fewer partitions than cores."""
-    want = spark.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether a table of rows of at most row_bytes stays below the limit for broadcasts (counts no further than that)."""
     return df.limit(limit // row_bytes + 1).count() <= limit // row_bytes

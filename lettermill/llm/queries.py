@@ -7,10 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import is_plain, table
+from .p1_language import mislabelled, segments
+from .p5_encoding import garbled_documents, garbled_parts
 from .p9_leaks import leaks
 from .p10_spans import shared_share, shared_spans, sharing_documents
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "ctype").where(is_plain())
+    return mislabelled(docs, table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "ctype").where(is_plain())
+    return segments(docs, table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
+
+
+def _garbled(spark: SparkSession, sf_dir: str, texts_too: bool) -> DataFrame:
+    samples = table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text")
+    docs = garbled_documents(table(spark, sf_dir, "documents", "doc_id", "text"), samples, texts_too=texts_too)
+    return docs.unionByName(garbled_parts(table(spark, sf_dir, "mime_parts", "msg_no", "part_no", "ctype", "charset", "payload"), samples, texts_too=texts_too))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir, False).select("tbl", "row_id", "part_no").distinct()
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir, True).distinct()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"))
 
@@ -32,7 +58,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p9_found, p9_near, p10_found, p10_spans, p10_share)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p5_found, p5_restored, p9_found, p9_near, p10_found, p10_spans, p10_share)}
 
 
 def oracle_sql() -> dict[str, str]:
