@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +145,8 @@ class Model:
                 if counts.sum() and not any(np.array_equal(counts, r) for r in rows[: len(langs)]):
                     rows.append(counts)
                     self.kind.append(i)
-        counts = np.array(rows, np.float32)
-        self.weights = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS)).T.copy()
+        self.counts = np.array(rows, np.uint16)
+        self._weigh()
         self.kind = np.array(self.kind)
         self.clean = self.kind < 0
         self.stray = -np.log(BUCKETS)
@@ -156,6 +157,23 @@ class Model:
                 if ord(c) < 0x3000 and (c.isalpha() or c in PLAIN_MARKS):
                     self.known[ord(c)] |= 1 << bit
 
+    def _weigh(self) -> None:
+        counts = self.counts.astype(np.float32)
+        self.weights = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS)).T.copy()
+
+    def __getstate__(self) -> dict:
+        """Only the counts that are not zero travel; weights are made where they arrive."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("counts", "weights")}
+        at = np.flatnonzero(self.counts)
+        return state | {"sparse": (self.counts.shape, at.astype(np.uint32), self.counts.ravel()[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, values = state.pop("sparse")
+        self.__dict__.update(state)
+        self.counts = np.zeros(shape, np.uint16)
+        self.counts.ravel()[at] = values
+        self._weigh()
+
     @staticmethod
     def _counts(texts: list[str]) -> np.ndarray:
         return np.bincount(bigrams("\n".join(texts)), minlength=BUCKETS)
@@ -220,6 +238,11 @@ class Model:
         return text, begin - starts[text], ends[bad] - starts[text]
 
 
+def sent_model(samples: DataFrame | Broadcast) -> Broadcast:
+    """The trained model for all executors; a model that has been sent already is used again."""
+    return samples if isinstance(samples, Broadcast) else samples.sparkSession.sparkContext.broadcast(build(samples))
+
+
 def build(samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on labelled rows (lang, sample_no, text), of each language the first sample_rows."""
     from pyspark.sql import Window
@@ -272,13 +295,13 @@ def declared(charset: str | None) -> str:
 _OUT = "tbl string, row_id long, part_no int, restored string, chain string, whole boolean"
 
 
-def garbled_documents(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", tbl: str = "documents", texts_too: bool = True) -> DataFrame:
+def garbled_documents(docs: DataFrame, samples: DataFrame | Broadcast, id_col: str = "doc_id", text_col: str = "text", tbl: str = "documents", texts_too: bool = True) -> DataFrame:
     """Rows (tbl, row_id, part_no, restored, chain, whole) of the records that hold wrongly decoded letters.
 
     restored is the text with each garbled line replaced where an inversion succeeds; whole tells whether all
     were. Null ids and null, empty or ASCII texts give no row. Without texts_too restored is null.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(build(samples))
+    sent = sent_model(samples)
 
     def run(batch: pa.RecordBatch) -> dict:
         ids = batch.column(0).to_pylist()
@@ -290,14 +313,14 @@ def garbled_documents(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id
     return map_arrow(rows, run, _OUT)
 
 
-def garbled_parts(parts: DataFrame, samples: DataFrame, texts_too: bool = True) -> DataFrame:
+def garbled_parts(parts: DataFrame, samples: DataFrame | Broadcast, texts_too: bool = True) -> DataFrame:
     """The same for the text parts (msg_no, part_no, ctype, charset, payload) of messages, read in their declared charsets.
 
     A payload that its charset cannot decode is garbled; then the first of UTF-8, the legacy charsets of the
     model that decodes strictly to clean text gives the restored text. Parts that are not text, and null or
     empty payloads, give no row.
     """
-    sent = parts.sparkSession.sparkContext.broadcast(build(samples))
+    sent = sent_model(samples)
 
     def run(batch: pa.RecordBatch) -> dict:
         model, out, texts, keys = sent.value, [], [], []

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import is_plain, table
 from .p1_language import mislabelled, segments
-from .p5_encoding import garbled_documents, garbled_parts
+from .p4_quotes import newly_written, not_written
+from .p5_encoding import garbled_documents, garbled_parts, sent_model
 from .p9_leaks import leaks
 from .p10_spans import shared_share, shared_spans, sharing_documents
 
@@ -23,8 +24,17 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(docs, table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "ctype").where(is_plain())
+    return not_written(docs, table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
+
+
+def p4_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return newly_written(table(spark, sf_dir, "documents", "doc_id", "text", "ctype").where(is_plain()))
+
+
 def _garbled(spark: SparkSession, sf_dir: str, texts_too: bool) -> DataFrame:
-    samples = table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text")
+    samples = sent_model(table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
     docs = garbled_documents(table(spark, sf_dir, "documents", "doc_id", "text"), samples, texts_too=texts_too)
     return docs.unionByName(garbled_parts(table(spark, sf_dir, "mime_parts", "msg_no", "part_no", "ctype", "charset", "payload"), samples, texts_too=texts_too))
 
@@ -58,7 +68,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_segments, p5_found, p5_restored, p9_found, p9_near, p10_found, p10_spans, p10_share)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_written, p5_found, p5_restored, p9_found, p9_near, p10_found, p10_spans, p10_share)}
 
 
 def oracle_sql() -> dict[str, str]:
