@@ -174,6 +174,9 @@ def parse(lines: list[str], folded: list[str] | None = None, deep: bool = True)
                 continue
             if not re.search(r"\w", s) or SIGNATURE_BAR.fullmatch(s):
                 k = following(i + 1)
+                if k + 1 < n and SENDER.match(bare[k]) and HEADER.match(bare[k + 1]):
+                    nodes.append(Node("forward", i, n, _rest(lines, folded, k, deep)))
+                    break
                 if k < n and _is_notice(" ".join(bare[k : until_blank(k)])):
                     nodes.append(Node("notice", i, until_blank(k)))
                     i = until_blank(k)

@@ -10,6 +10,7 @@ from .common import is_plain, table
 from .p1_language import mislabelled, segments
 from .p4_quotes import newly_written, not_written
 from .p5_encoding import garbled_documents, garbled_parts, sent_model
+from .p6_markup import cleaned, with_markup
 from .p9_leaks import leaks
 from .p10_spans import shared_share, shared_spans, sharing_documents
 
@@ -47,6 +48,14 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _garbled(spark, sf_dir, True).distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_markup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaned(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"))
 
@@ -68,7 +77,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_written, p5_found, p5_restored, p9_found, p9_near, p10_found, p10_spans, p10_share)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_written, p5_found, p5_restored, p6_found, p6_clean, p9_found, p9_near, p10_found, p10_spans, p10_share)}
 
 
 def oracle_sql() -> dict[str, str]:
