@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .p5_encoding import Model, repair, sent_model
+from .p5_encoding import readable, sent_model
 
 
 def _fold_table() -> dict[int, str]:
@@ -229,15 +229,6 @@ def written(text: str) -> str:
     return re.sub(r"(?:[ \t\r]*\n){3,}", "\n\n", "\n".join(kept)).strip()
 
 
-def _readable(model: Model, texts: list[str]) -> list[str]:
-    """Garbled texts restored where that keeps their lines, so that the grammar's words are found in them."""
-    out = list(texts)
-    for number, fixed, _, _ in repair(model, texts):
-        if fixed is not None and fixed.count("\n") == texts[number].count("\n"):
-            out[number] = fixed
-    return out
-
-
 def not_written(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, line_no): lines, counted from 1, that are not blank and not newly written by the sender.
 
@@ -247,7 +238,7 @@ def not_written(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", tex
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1).to_pylist()
-        found = [[] if "<" in t and HTML.search(t) else old_lines(t) for t in _readable(sent.value, texts)]
+        found = [[] if "<" in t and HTML.search(t) else old_lines(t) for t in readable(sent.value, texts)]
         ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
         return {"doc_id": pa.array(ids, pa.int64()), "line_no": pa.array([k for x in found for k in x], pa.int64())}
 

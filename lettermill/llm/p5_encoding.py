@@ -278,6 +278,15 @@ def repair(model: Model, texts: list[str]) -> list[tuple[int, str | None, str, b
     return out
 
 
+def readable(model: Model, texts: list[str]) -> list[str]:
+    """Garbled texts restored where that keeps their lines, for operators that look for words."""
+    out = list(texts)
+    for number, fixed, _, _ in repair(model, texts):
+        if fixed is not None and fixed.count("\n") == texts[number].count("\n"):
+            out[number] = fixed
+    return out
+
+
 def declared(charset: str | None) -> str:
     """The charset a payload is read in: null is utf-8, blank iso-8859-2, an unknown name utf-8."""
     if charset is None:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import is_plain, table
 from .p1_language import mislabelled, segments
+from .p3_personal import personal, redacted
 from .p4_quotes import newly_written, not_written
 from .p5_encoding import garbled_documents, garbled_parts, sent_model
 from .p6_markup import cleaned, with_markup
@@ -25,6 +27,20 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(docs, table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
 
 
+def _personal_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "ctype").where(is_plain()).select(F.col("doc_id").alias("row_id"), "text")
+    log = table(spark, sf_dir, "score_log", "line_no", "tokens").withColumnRenamed("line_no", "row_id")
+    return docs, log, table(spark, sf_dir, "name_list", "name")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal(*_personal_inputs(spark, sf_dir), table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted(*_personal_inputs(spark, sf_dir), table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "ctype").where(is_plain())
     return not_written(docs, table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
@@ -77,7 +93,7 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_written, p5_found, p5_restored, p6_found, p6_clean, p9_found, p9_near, p10_found, p10_spans, p10_share)}
+    return {f.__name__: f for f in (p1_found, p1_segments, p3_found, p3_redacted, p4_found, p4_written, p5_found, p5_restored, p6_found, p6_clean, p9_found, p9_near, p10_found, p10_spans, p10_share)}
 
 
 def oracle_sql() -> dict[str, str]:
