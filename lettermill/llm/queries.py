@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from .common import is_plain, table
 from .p1_language import mislabelled, segments
+from .p2_splits import matched_spans, overlap_counts, overlaps
 from .p3_personal import personal, redacted
 from .p4_quotes import newly_written, not_written
 from .p5_encoding import garbled_documents, garbled_parts, sent_model
 from .p6_markup import cleaned, with_markup
+from .p7_near import near_groups, near_pairs
+from .p8_packing import fill, pack
 from .p9_leaks import leaks
 from .p10_spans import shared_share, shared_spans, sharing_documents
 
@@ -27,6 +30,22 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(docs, table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
 
 
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "mail_corpus", "id", "tokens", "split", "source")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(_corpus(spark, sf_dir))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_counts(_corpus(spark, sf_dir))
+
+
+def p2_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_spans(_corpus(spark, sf_dir))
+
+
 def _personal_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "ctype").where(is_plain()).select(F.col("doc_id").alias("row_id"), "text")
     log = table(spark, sf_dir, "score_log", "line_no", "tokens").withColumnRenamed("line_no", "row_id")
@@ -72,6 +91,22 @@ def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(_corpus(spark, sf_dir))
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_corpus(spark, sf_dir))
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents", "doc_id", "text", "n_tok"), table(spark, sf_dir, "pack_spec", "spec_id", "capacity"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(p8_pack(spark, sf_dir), table(spark, sf_dir, "pack_spec", "spec_id", "capacity"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"))
 
@@ -93,7 +128,9 @@ def p10_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_segments, p3_found, p3_redacted, p4_found, p4_written, p5_found, p5_restored, p6_found, p6_clean, p9_found, p9_near, p10_found, p10_spans, p10_share)}
+    found = (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_pack, p9_found, p10_found)
+    more = (p1_segments, p2_counts, p2_spans, p3_redacted, p4_written, p5_restored, p6_clean, p7_groups, p8_fill, p9_near, p10_spans, p10_share)
+    return {f.__name__: f for f in (*found, *more)}
 
 
 def oracle_sql() -> dict[str, str]:
