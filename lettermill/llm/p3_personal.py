@@ -11,7 +11,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable
+from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -24,7 +27,9 @@ from .p5_encoding import readable, sent_model
 #: the share of all the texts with it, capitalised, that these must be.
 ROUNDS, WORD_SCORE, NUMBER_SCORE, LEAST_SEEN, LEAST_SHARE = 4, 0.35, 0.7, 3, 0.4
 
-FOLD = {cp: unicodedata.normalize("NFKD", chr(cp))[0] for cp in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(cp))[0].isascii()} | {0xDF: "s", 0x2019: "'"}
+FOLD = {cp: unicodedata.normalize("NFKD", chr(cp))[0].lower() for cp in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(cp))[0].isascii()} | {0xDF: "s", 0x2019: "'"}
+#: The same for the capitals of ASCII too.
+LOWER = FOLD | {cp: chr(cp + 32) for cp in range(65, 91)}
 #: What a line break and the quote marks behind it are turned into blanks by, so that places stay the same.
 BREAK = re.compile(r"\r?\n[ \t]*(?:(?:[A-Z]{1,3})?>[> \t]*|[|:](?=[ \t]))?")
 
@@ -44,6 +49,12 @@ ADDRESS = re.compile(
     rf"|\b(?:calle|avenida|plaza|paseo|camino|travesia|ronda|glorieta) +\w+ *,? +{_NO}"
     rf"|\b(?:strada|aleea|bulevardul|calea|piata|soseaua|splaiul|intrarea) +\w+ *,? +(?:nr *\.? *)?{_NO}"
 )
+#: The words of these patterns, _ for a blank; house numbers; the marks of addresses.
+STREETS = "utca ut_ koz_ ter_ fasor setany korut krt rakpart dulo street road lane avenue close drive court crescent terrace strasse strase stras weg_ gasse allee platz_ ufer_ ring_ graben_ damm_ steig_ markt_ pfad_ hof_ berg_ rue_ impasse boulevard chemin place quai cours square calle avenida plaza paseo camino travesia ronda glorieta strada aleea bulevardul calea piata soseaua splaiul intrarea"
+HOUSE = re.compile(r"[\d#]")
+AT = re.compile(r"@|[(\[]at[)\]]")
+#: Where a phone number can start: enough digits, with what may stand between them.
+DIGITS = re.compile(r"(?:\+|\(|(?<!\w))\d[\d .()/-]{6,}")
 #: Words that name a number given to a person. Fixed values.
 TRIGGERS = (
     r"identity card|\bid card|passport|\btax id|tax number|social security|national insurance"
@@ -59,6 +70,7 @@ TRIGGERED = "!"
 NUMBER = re.compile(r"(?<![\w.,/+-])(?:[a-z]{1,2} ?)?\d[\d-]*(?: \d[\d-]*){0,3}(?:[a-z]{2})?(?![\w/]|[.,]\d)", re.I)
 _WORDS_BEFORE = re.compile(r"[^\W\d_][\w'-]*")
 
+_WORD = re.compile(r"[^\W\d_][\w'-]+|[^\W\d_]\.")
 _UP = "A-ZÀ-ÖØ-ÞĂŐŰŒȘȚŞŢŚŠŽČ"
 #: One to four words with a capital, with blanks or "Family, Given" commas between them; initials may stand among them.
 UNIT = re.compile(rf"(?<![\w@.+-])(?:[{_UP}]\. ?)?[{_UP}][\w'-]+(?:,? (?:[{_UP}]\. ?)?[{_UP}][\w'-]+){{0,3}}(?![\w@])|(?<![\w@.+-])[{_UP}]\. ?[{_UP}][\w'-]+(?![\w@])")
@@ -71,22 +83,46 @@ def flatten(text: str) -> str:
 
 def fold(text: str) -> str:
     """Lower case without accents, of the same length."""
-    return text.lower() if text.isascii() else "".join(c if len(c) == 1 else c[0] for c in map(str.lower, text.translate(FOLD)))
+    return text.lower() if text.isascii() else text.translate(LOWER)
+
+
+def _around(pattern: re.Pattern, text: str, places: Iterable[tuple[int, int]], left: int, right: int) -> set[tuple[int, int]]:
+    """Matches of a pattern in the text around some places only; a window starts and ends at a blank, so that no word is cut."""
+    out: set[tuple[int, int]] = set()
+    reached = -1
+    for a, b in places:
+        if b <= reached:
+            continue
+        start = max(0, text.rfind(" ", 0, max(0, a - left)))
+        end = text.find(" ", b + right)
+        for m in pattern.finditer(text, start, len(text) if end < 0 else end):
+            out.add(m.span())
+            reached = max(reached, m.end())
+    return out
 
 
 def forms(flat: str, low: str) -> list[tuple[str, int, int]]:
     """Occurrences (kind, start, end) that their form tells: e-mail, phone, address."""
     out = []
     if "@" in flat or "at)" in low or "at]" in low:
-        out += [("email", *m.span()) for m in EMAIL.finditer(flat)]
-    digits = any(d in flat for d in "0123456789")
-    if digits:
-        out += [("phone", *m.span()) for m in PHONE.finditer(flat)]
-    if digits or "#" in flat:
-        out += [("address", *m.span()) for m in ADDRESS.finditer(low)]
+        out += [("email", *span) for span in _around(EMAIL, flat, (m.span() for m in AT.finditer(flat)), 64, 96)]
+    out += [("phone", *span) for span in _around(PHONE, flat, (m.span() for m in DIGITS.finditer(flat)), 0, 16)]
+    streets = ((end - 3, end + 1) for end, _ in _streets().iter(low) if HOUSE.search(low, max(0, end - 40), end + 40))
+    out += [("address", *span) for span in _around(ADDRESS, low, streets, 48, 48)]
     return out
 
 
+@cache
+def _streets() -> ahocorasick.Automaton:
+    """All street words in one automaton."""
+    found = ahocorasick.Automaton()
+    for word in STREETS.split():
+        word = word.replace("_", " ")
+        found.add_word(word, word)
+    found.make_automaton()
+    return found
+
+
 def _shape(number: str) -> str:
     return re.sub(r"[a-z]", "a", re.sub(r"\d", "9", number.lower()))
 
@@ -112,7 +148,9 @@ def units(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[list[tuple
             flat = flat[:a] + "@" * (b - a) + flat[b:]
     out = []
     for m in UNIT.finditer(flat):
-        words = [(w[0], m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"[^\W\d_][\w'-]+|[^\W\d_]\.", m[0])]
+        words = [(w[0], m.start() + w.start(), m.start() + w.end()) for w in _WORD.finditer(m[0])]
+        if len(words) > 1 and m[0].isupper() and not any(w[0][-1] == "." for w in words):
+            continue  # a line in capitals tells nothing
         before = flat[max(0, m.start() - 24) : m.start()].rsplit("\n", 1)[-1].rstrip()
         behind = flat[m.end() : m.end() + 2].strip()[:1]
         opens = not before or before[-1] in ".!?¡>:|/"
