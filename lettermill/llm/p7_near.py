@@ -22,6 +22,10 @@ from .tokensets import distinct_sorted, records, token_hashes, trigrams
 SIDE, ROWS = 14, 2
 #: Members of a bucket of which all pairs are compared; larger buckets are split by further hashes first.
 BUCKET = 64
+#: Bits of the bitmaps that rule out candidates before their trigrams are fetched.
+BITMAP = 256
+#: Times a crowded bucket is split before all its pairs are compared.
+DEPTH = 6
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +61,7 @@ def signatures(grams: np.ndarray, starts: np.ndarray, side: int, rows: int, coll
 
 
 def _sketches(reps: DataFrame, side: int, rows: int) -> DataFrame:
-    """Rows (rep, grams, keys): distinct hashed trigrams in order, and the keys of all tables."""
+    """Rows (rep, n, bits, grams, keys): the distinct hashed trigrams, their number, a bitmap of them, and the keys of all tables."""
 
     def run(batch: pa.RecordBatch) -> dict:
         hashes, starts = token_hashes(batch.column(1))
@@ -67,9 +71,13 @@ def _sketches(reps: DataFrame, side: int, rows: int) -> DataFrame:
         keys = (sig[0][:, None, :] * np.uint64(0x9FB21C651E98DF25)) ^ sig[1][None, :, :]
         keys = (keys + table).reshape(side * side, -1).T
         lists = lambda flat, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
-        return {"rep": batch.column(0), "grams": lists(grams, at), "keys": lists(np.ascontiguousarray(keys).ravel(), np.arange(len(batch) + 1) * side * side)}
+        # a bitmap sets one bit for each trigram: where two differ, at least as many trigrams differ
+        bits = np.zeros(len(batch) * BITMAP, bool)
+        bits[np.repeat(np.arange(len(batch)), np.diff(at)) * BITMAP + (grams >> np.uint64(40)).astype(np.int64) % BITMAP] = True
+        words = np.packbits(bits).view(np.int64)
+        return {"rep": batch.column(0), "n": pa.array(np.diff(at).astype(np.int32)), "bits": lists(words, np.arange(len(batch) + 1) * (BITMAP // 64)), "grams": lists(grams, at), "keys": lists(np.ascontiguousarray(keys).ravel(), np.arange(len(batch) + 1) * side * side)}
 
-    return map_arrow(reps, run, "rep long, grams array<long>, keys array<long>")
+    return map_arrow(reps, run, "rep long, n int, bits array<long>, grams array<long>, keys array<long>")
 
 
 def _meet(rows: DataFrame, bucket: int) -> DataFrame:
@@ -109,6 +117,18 @@ def _meet(rows: DataFrame, bucket: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
 
 
+def _further(reps: DataFrame, side: int, rows: int, level: int) -> DataFrame:
+    """Rows (rep, table, k): the small hashes of another collection."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        hashes, starts = token_hashes(batch.column(1))
+        sig = signatures(*distinct_sorted(*trigrams(hashes, starts)), side, rows, 1, 100 + level)[0]
+        n = len(batch)
+        return {"rep": pa.array(np.tile(batch.column(0).to_numpy(), side)), "table": pa.array(np.repeat(np.arange(side, dtype=np.int32), n)), "k": pa.array(sig.ravel().view(np.int64))}
+
+    return map_arrow(reps, run, "rep long, table int, k long")
+
+
 def similar_classes(reps: DataFrame, threshold: float, side: int = SIDE, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
     """Rows (a, b, similarity), a < b, of records (rep, tokens) whose sets of token trigrams have at least the given similarity."""
     sketches = cut(_sketches(reps, side, rows))
@@ -116,17 +136,22 @@ def similar_classes(reps: DataFrame, threshold: float, side: int = SIDE, rows: i
     pairs = met.where("b >= 0")
     level = 0
     crowded = met.where("b < 0").select(F.col("a").alias("key"), (-1 - F.col("b")).alias("rep")).distinct()
-    # crowded buckets are split by the tables again, now keyed by bucket and table; what stays crowded is split by
-    # one table after the other, until every bucket is small or all its members share every key
+    # crowded buckets are split by a third collection of hashes, and what stays crowded by a fourth and so on: a pair
+    # goes on together with probability 1 - (1 - s**rows)**side each time; after DEPTH times all pairs are compared
     while not crowded.isEmpty():
-        keys = sketches.select("rep", F.posexplode("keys").alias("table", "k")).where(F.pmod("table", F.lit(side * side)) % side == level % side)
-        split = crowded.join(keys, "rep").select(F.xxhash64("key", "table", "k").alias("key"), "rep")
         level += 1
-        met = cut(_meet(split, bucket if level < side else 1 << 62))
+        keys = _further(reps.join(crowded.select("rep").distinct(), "rep", "left_semi"), side, rows, level)
+        split = crowded.join(keys, "rep").select(F.xxhash64("key", "table", "k").alias("key"), "rep")
+        met = cut(_meet(split, bucket if level < DEPTH else 1 << 62))
         pairs = pairs.unionByName(met.where("b >= 0"))
         crowded = met.where("b < 0").select(F.col("a").alias("key"), (-1 - F.col("b")).alias("rep")).distinct()
-    grams = sketches.select("rep", "grams")
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # sets of similarity t differ in at most (1 - t) / (1 + t) of their members' number, and their bitmaps in no more: nothing alike is ruled out
+    bits = sketches.select("rep", "n", "bits")
+    maps = both.join(bits.toDF("a", "na", "ba"), "a").join(bits.toDF("b", "nb", "bb"), "b")
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    both = cut(maps.where(differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b"))
+    grams = sketches.select("rep", "grams")
     joined = both.join(grams.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return joined.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -143,6 +168,7 @@ def near_pairs(corpus: DataFrame, threshold: float = 0.5, least: int = 20) -> Da
     record; records without tokens in common are never alike; exact copies are paired by their class.
     """
     members, reps = classes(_train(corpus, least))
+    reps = cut(reps)
     return expand(members, similar_classes(reps, threshold))
 
 
@@ -156,6 +182,7 @@ def expand(members: DataFrame, alike: DataFrame) -> DataFrame:
 def near_groups(corpus: DataFrame, threshold: float = 0.8, least: int = 20) -> DataFrame:
     """Rows (id, class_id, copies, links): each record's class of copies, its size, and the number of other classes that are alike."""
     members, reps = classes(_train(corpus, least))
+    reps = cut(reps)
     alike = similar_classes(reps, threshold)
     links = alike.select(F.col("a").alias("rep")).unionByName(alike.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
