@@ -103,12 +103,23 @@ def fold_table(limit: int = 0x20000) -> dict[str, str]:
     return table | {"×": "x", "Ø": "O", "ø": "o", "ß": "ss"}
 
 
+def _ranges(chars) -> str:
+    """The inside of a character class, as ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for code in codes:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
 def fold(text: Column) -> Column:
     """Accented letters to plain ones, all else beyond ASCII away. Texts that are ASCII already are left alone."""
     table = fold_table()
     single = {k: v for k, v in table.items() if len(v) == 1}
     several = {k: v for k, v in table.items() if len(v) > 1}
-    pattern = "([" + "".join(several) + "])"
+    pattern = "(?=[^\\x00-\\x7F])([" + _ranges(several) + "])"  # ASCII is passed over by the first test
     pairs = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
 
     def widened(t: Column) -> Column:
