@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables whose rows take long to work on, so that a single small file should not be one task.
+WORKED = {"documents", "mail_corpus", "score_log", "mime_parts"}
 #: Bytes of the rows that a Python function is given at a time.
 SLICE_BYTES = 1 << 20
 #: Largest table, in bytes as counted row by row, that is ever broadcast.
@@ -17,8 +19,10 @@ BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table of a data folder, with only the named columns."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    """A table of a data folder, with only the named columns, over all cores if it comes in fewer partitions."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in WORKED and df.rdd.getNumPartitions() < cores else df
 
 
 def is_plain(ctype: str = "ctype"):
