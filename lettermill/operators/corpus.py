@@ -76,10 +76,12 @@ def vocabulary(rows: DataFrame, tokens: str, least: int = 1) -> DataFrame:
 def known_tokens(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
     """Rows (key, tokens, ids): the tokens that the vocabulary (token, id) has, in order and with repeats. Every key stays."""
     rows = cut(rows.select(key, tokens))
-    exploded = rows.select(key, F.posexplode(tokens).alias("pos", "token")).join(vocab.select("token", "id"), "token")
-    lists = exploded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "id"))).alias("l"))
+    words = rows.select(F.col(key).alias("_key"), F.posexplode(tokens).alias("_pos", "_token"))
+    known = words.join(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")), "_token")
+    lists = known.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_token", "_id"))).alias("_l"))
+    joined = rows.select(F.col(key).alias("_key")).join(lists, "_key", "left")
     empty = F.array()
-    return rows.select(key).join(lists, key, "left").select(key, F.coalesce(F.col("l.token"), empty.cast("array<string>")).alias("tokens"), F.coalesce(F.col("l.id"), empty.cast("array<int>")).alias("ids"))
+    return joined.select(F.col("_key").alias(key), F.coalesce(F.col("_l._token"), empty.cast("array<string>")).alias("tokens"), F.coalesce(F.col("_l._id"), empty.cast("array<int>")).alias("ids"))
 
 
 def padded(ids, length: int = LENGTH):

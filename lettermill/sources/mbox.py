@@ -26,7 +26,9 @@ def split_mbox(data: bytes, drop_last: bool = False) -> list[bytes]:
         elif not line.strip():
             headers = False
         at += len(line)
-    if data and (not starts or starts[0]):
+    if not data:
+        return []
+    if not starts or starts[0]:
         starts.insert(0, 0)
     messages = [data[a:b] for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
     return messages[:-1] if drop_last else messages
