@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_plain, map_arrow
+from .common import map_arrow
 
 LETTERS = 26
 SPACE, OTHER = 0, LETTERS + 1
@@ -111,7 +111,7 @@ class Model:
             tables.append(table + 2 * at)
             self.roots.append(at)
             at += len(table)
-        self.table = np.concatenate(tables).ravel()
+        self.table = np.concatenate(tables or [np.zeros((0, SYMBOLS), np.int32)]).ravel()
         self.start = np.array(self.roots, np.int32)[:, None] * SYMBOLS
 
     def phrases(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -234,12 +234,17 @@ def build(samples: DataFrame, sample_chars: int = SAMPLE_CHARS) -> Model:
     return Model(found)
 
 
+SEGMENTS = "doc_id long, segment int, start int, lang string, confidence double, letters int, sentences int"
+
+
 def segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, segment, start, lang, confidence, letters, sentences): each document's passages in order.
 
-    Null ids, and texts without a letter, give no row. A text of which no sentence is long and clear enough is one segment.
+    Null ids, and texts without a letter, give no row; without samples there is no row at all. A text of which no sentence is long and clear enough is one segment.
     """
     sent = docs.sparkSession.sparkContext.broadcast(build(samples))
+    if not sent.value.langs:
+        return docs.sparkSession.createDataFrame([], SEGMENTS)
 
     def run(batch: pa.RecordBatch) -> dict:
         model = sent.value
@@ -257,7 +262,7 @@ def segments(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_c
         }
 
     rows = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long"), F.col(text_col))
-    return map_arrow(rows, run, "doc_id long, segment int, start int, lang string, confidence double, letters int, sentences int")
+    return map_arrow(rows, run, SEGMENTS)
 
 
 def usable(label) -> str:
@@ -274,9 +279,11 @@ def mislabelled(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", tex
     """Rows (doc_id, lang): for each document with a missing or wrong label or several languages, each language of a passage in it.
 
     A language counts if a passage of two whole sentences is in it; if none does, the one with most letters does.
-    Texts of fewer than 60 letters, and null or empty ones, give no row.
+    Texts of fewer than 60 letters, null or empty ones, and null ids give no row; without samples there is no row at all.
     """
     sent = docs.sparkSession.sparkContext.broadcast(build(samples))
+    if not sent.value.langs:
+        return docs.sparkSession.createDataFrame([], "doc_id long, lang string")
 
     def run(batch: pa.RecordBatch) -> dict:
         model = sent.value
@@ -298,6 +305,3 @@ def mislabelled(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", tex
     rows = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long"), F.col(text_col), F.col(label_col))
     return map_arrow(rows, run, "doc_id long, lang string").distinct()
 
-
-def plain_documents(docs: DataFrame) -> DataFrame:
-    return docs.where(is_plain())

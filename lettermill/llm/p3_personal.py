@@ -67,7 +67,7 @@ TRIGGERS = (
 TRIGGER = re.compile(TRIGGERS)
 #: The pattern of every number behind such a word.
 TRIGGERED = "!"
-NUMBER = re.compile(r"(?<![\w.,/+-])(?:[a-z]{1,2} ?)?\d[\d-]*(?: \d[\d-]*){0,3}(?:[a-z]{2})?(?![\w/]|[.,]\d)", re.I)
+NUMBER = re.compile(r"(?<![\w.,/+-])(?:[A-Z]{1,2} ?|[a-z]{1,2}(?=\d))?\d[\d-]*(?: +\d[\d-]*){0,3}(?:[A-Za-z]{2})?(?![\w/]|[.,]\d)")
 _WORDS_BEFORE = re.compile(r"[^\W\d_][\w'-]*")
 
 _WORD = re.compile(r"[^\W\d_][\w'-]+|[^\W\d_]\.")
@@ -130,11 +130,11 @@ def _shape(number: str) -> str:
 def numbers(flat: str, low: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
     """Long numbers that nothing else accounts for: shape, the words before, start, end."""
     out = []
-    for m in NUMBER.finditer(low):
+    for m in NUMBER.finditer(flat):
         start, end = m.span()
         if sum(c.isdigit() for c in m[0]) < 6 or any(a < end and start < b for _, a, b in taken):
             continue
-        before = re.split(r"[!?;]|\.(?= +\w{3})", low[max(0, start - 48) : start])[-1]
+        before = re.split(r"[!?;,]|\d{2,}|\.(?= +\w{3})", low[max(0, start - 48) : start])[-1]
         context = " ".join(_WORDS_BEFORE.findall(before)[-4:])
         out.append((_shape(m[0]), context, start, end))
     return out

@@ -8,6 +8,7 @@ step decodes strictly and the model takes the outcome for clean.
 from __future__ import annotations
 
 import codecs
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,9 @@ WRITTEN_IN = ["cp1252", "cp1250", "iso8859-2", "latin-1", "cp852", "cp850", "mac
 MARKS = "€ £ § ° º ª « » ‹ › “ ” „ ‘ ’ ‚ – — … • · ¿ ¡ © ® ™ ± × ½ ¼ ² ³ µ †"
 #: Of these, the ones that a misread letter hardly ever turns into: a line with no others needs no closer look.
 PLAIN_MARKS = set("€§°ºª«»“”„‘’–—…¿¡")
+CAPITAL = np.array([cp > 127 and chr(cp).isupper() for cp in range(0x3000)])
+BETWEEN = np.array([chr(cp) in PLAIN_MARKS - set("’‘–—…") for cp in range(0x3000)])
+ODD = re.compile("[a-z](?:[" + "".join(chr(c) for c in np.flatnonzero(CAPITAL[:0x250])) + "]|[€§°ºª«»“”„¿¡][a-z])")
 #: Letters beyond a-z of each language's spelling. Fixed values.
 SPELLING = {"hu": "áéíóöőúüű", "en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü", "ro": "ăâîșțşţ"}
 LINES = [f"x {m} y 1{m} {m}x x{m} {m} ({m})" for m in MARKS.split()] + ["we’ll can’t hasn’t we’d don’t I’m", "kb. 120 € körül, 45 €; 12 €.", "n.º 12 1.ª vez"]
@@ -135,7 +139,7 @@ class Model:
         for lang in langs:
             rows.append(self._counts(clean[lang]))
             self.kind.append(-1)
-        rows.append(sum(rows))
+        rows.append(sum(rows, np.zeros(BUCKETS, np.int64)))
         self.kind.append(-1)
         for i, chain in enumerate(self.chains):
             for lang in langs:
@@ -181,7 +185,7 @@ class Model:
     def judge(self, line: str) -> tuple[bool, list[Chain]]:
         """Whether a line is garbled, and by which chains, likeliest first."""
         h = bigrams(line)
-        if not len(h):
+        if not len(h) or self.clean.all():  # without samples nothing is judged
             return False, []
         score = self.weights[h].sum(0)
         clean = score[self.clean].max()
@@ -197,13 +201,15 @@ class Model:
             return True
         if "�" in text or any("\x80" <= c <= "\x9f" for c in text):
             return False
-        if self.explains(text):
+        if self.explains(text) or self.clean.all():
             return True
         score = self.weights[h].sum(0)
         return bool(score[self.clean].max() >= score[~self.clean].max() - LEAD)
 
     def explains(self, text: str) -> bool:
         """Whether all characters occur in the clean text of one language."""
+        if ODD.search(text):
+            return False
         bits = 255
         for c in text:
             if c > "\x7f":
@@ -231,6 +237,11 @@ class Model:
         line = np.searchsorted(ends, high)
         bits = np.where(cp[high] < 0x3000, self.known[np.minimum(cp[high], 0x2FFF)], 0)
         first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        # capitals behind small letters, and marks between letters, are what misread letters look like
+        before, after = cp[np.maximum(high - 1, 0)], cp[np.minimum(high + 1, len(cp) - 1)]
+        inside = (before >= 97) & (before <= 122)
+        low = np.minimum(cp[high], 0x2FFF)
+        bits[inside & (CAPITAL[low] | (BETWEEN[low] & (after >= 97) & (after <= 122)))] = 0
         explained = np.bitwise_and.reduceat(bits, first)
         bad = line[first[explained == 0]]
         begin = np.where(bad > 0, ends[bad - 1] + 1, 0)

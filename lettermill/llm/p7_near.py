@@ -20,12 +20,12 @@ from .tokensets import distinct_sorted, records, token_hashes, trigrams
 #: Hashes of each collection, and minhashes of each hash. A pair of similarity s meets with probability
 #: (1 - (1 - s**ROWS)**SIDE)**2: 0.965 at 0.5, 0.995 at 0.6, 0.9998 at 0.7.
 SIDE, ROWS = 14, 2
-#: Members of a bucket of which all pairs are compared; larger buckets are split by further hashes first.
+#: Members of a bucket of which all pairs are candidates; of larger ones only the pairs that bitmaps leave are.
 BUCKET = 64
+#: Members of one block of a larger bucket; blocks are compared two by two, each pair of blocks in a task of its own.
+BLOCK = 2000
 #: Bits of the bitmaps that rule out candidates before their trigrams are fetched.
 BITMAP = 256
-#: Times a crowded bucket is split before all its pairs are compared.
-DEPTH = 6
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,23 +61,24 @@ def signatures(grams: np.ndarray, starts: np.ndarray, side: int, rows: int, coll
 
 
 def _sketches(reps: DataFrame, side: int, rows: int) -> DataFrame:
-    """Rows (rep, n, bits, grams, keys): the distinct hashed trigrams, their number, a bitmap of them, and the keys of all tables."""
+    """Rows (rep, n, bits, grams, small, keys): the distinct hashed trigrams, their number, a bitmap of them, the small hashes, and the keys of all tables."""
 
     def run(batch: pa.RecordBatch) -> dict:
         hashes, starts = token_hashes(batch.column(1))
         grams, at = distinct_sorted(*trigrams(hashes, starts))
         sig = signatures(grams, at, side, rows)
-        table = np.arange(side * side, dtype=np.uint64).reshape(side, side, 1) * np.uint64(0xA24BAED4963EE407)
-        keys = (sig[0][:, None, :] * np.uint64(0x9FB21C651E98DF25)) ^ sig[1][None, :, :]
-        keys = (keys + table).reshape(side * side, -1).T
+        sig = sig >> np.uint64(32)
+        table = np.arange(side * side, dtype=np.uint64).reshape(side, side, 1)
+        keys = table_keys(sig[0][:, None, :], sig[1][None, :, :], table).reshape(side * side, -1).T
         lists = lambda flat, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
         # a bitmap sets one bit for each trigram: where two differ, at least as many trigrams differ
         bits = np.zeros(len(batch) * BITMAP, bool)
         bits[np.repeat(np.arange(len(batch)), np.diff(at)) * BITMAP + (grams >> np.uint64(40)).astype(np.int64) % BITMAP] = True
         words = np.packbits(bits).view(np.int64)
-        return {"rep": batch.column(0), "n": pa.array(np.diff(at).astype(np.int32)), "bits": lists(words, np.arange(len(batch) + 1) * (BITMAP // 64)), "grams": lists(grams, at), "keys": lists(np.ascontiguousarray(keys).ravel(), np.arange(len(batch) + 1) * side * side)}
+        small = np.ascontiguousarray(sig.astype(np.uint32).reshape(2 * side, -1).T)
+        return {"rep": batch.column(0), "small": pa.array([r.tobytes() for r in small], pa.binary()), "n": pa.array(np.diff(at).astype(np.int32)), "bits": lists(words, np.arange(len(batch) + 1) * (BITMAP // 64)), "grams": lists(grams, at), "keys": lists(np.ascontiguousarray(keys).ravel(), np.arange(len(batch) + 1) * side * side)}
 
-    return map_arrow(reps, run, "rep long, n int, bits array<long>, grams array<long>, keys array<long>")
+    return map_arrow(reps, run, "rep long, small binary, n int, bits array<long>, grams array<long>, keys array<long>")
 
 
 def _meet(rows: DataFrame, bucket: int) -> DataFrame:
@@ -117,34 +118,65 @@ def _meet(rows: DataFrame, bucket: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
 
 
-def _further(reps: DataFrame, side: int, rows: int, level: int) -> DataFrame:
-    """Rows (rep, table, k): the small hashes of another collection."""
+def _crowded(rows: DataFrame, sketches: DataFrame, side: int, threshold: float) -> DataFrame:
+    """Candidates (a, b) of the large buckets (key, rep): pairs that meet in no earlier table and whose bitmaps differ little enough.
 
-    def run(batch: pa.RecordBatch) -> dict:
-        hashes, starts = token_hashes(batch.column(1))
-        sig = signatures(*distinct_sorted(*trigrams(hashes, starts)), side, rows, 1, 100 + level)[0]
-        n = len(batch)
-        return {"rep": pa.array(np.tile(batch.column(0).to_numpy(), side)), "table": pa.array(np.repeat(np.arange(side, dtype=np.int32), n)), "k": pa.array(sig.ravel().view(np.int64))}
-
-    return map_arrow(reps, run, "rep long, table int, k long")
+    A pair that meets in many large buckets comes out of the first alone, and nothing is left out: an earlier table
+    with a small bucket has given the pair already.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = rows.join(sizes, "key").select("key", "rep", mine.alias("mine"), other.alias("other"))
+    placed = spread.select("key", "rep", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    full = placed.join(sketches.select("rep", "small", "n", "bits"), "rep")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, block, size = (table.column(c).to_numpy() for c in ("rep", "mine", "n"))
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint32).reshape(-1, 2 * side)
+        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        a, b = [], []
+        for k in left.tolist():
+            others = right[rep[right] > rep[k]] if x == y else right
+            differ = np.bitwise_count(bits[others] ^ bits[k]).sum(1)
+            others = others[differ <= (size[others] + size[k]) * ((1 - threshold) / (1 + threshold)) + 1e-9]
+            a.append(np.full(len(others), k))
+            b.append(others)
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        # both share this bucket's hashes; the first table in which they meet has the first equal hash of either collection
+        same = small[a] == small[b]
+        key = table.column("key")[0].as_py()
+        first = _table_key(small, a, same, side)
+        keep = first == np.int64(key)
+        a, b = rep[a[keep]], rep[b[keep]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return full.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def _table_key(small: np.ndarray, record: np.ndarray, same: np.ndarray, side: int) -> np.ndarray:
+    """The key of the first table of each pair: of the first equal hashes of both collections."""
+    i, j = same[:, :side].argmax(1), same[:, side:].argmax(1)
+    return table_keys(small[record, i].astype(np.uint64), small[record, side + j].astype(np.uint64), (i * side + j).astype(np.uint64)).view(np.int64)
+
+
+def table_keys(first: np.ndarray, second: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Keys of tables from a hash of either collection and the table's number."""
+    h = (first * np.uint64(0x9FB21C651E98DF25)) ^ (second * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (table * np.uint64(0xA24BAED4963EE407))
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
 
 def similar_classes(reps: DataFrame, threshold: float, side: int = SIDE, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
     """Rows (a, b, similarity), a < b, of records (rep, tokens) whose sets of token trigrams have at least the given similarity."""
     sketches = cut(_sketches(reps, side, rows))
     met = cut(_meet(sketches.select(F.explode("keys").alias("key"), "rep"), bucket))
-    pairs = met.where("b >= 0")
-    level = 0
-    crowded = met.where("b < 0").select(F.col("a").alias("key"), (-1 - F.col("b")).alias("rep")).distinct()
-    # crowded buckets are split by a third collection of hashes, and what stays crowded by a fourth and so on: a pair
-    # goes on together with probability 1 - (1 - s**rows)**side each time; after DEPTH times all pairs are compared
-    while not crowded.isEmpty():
-        level += 1
-        keys = _further(reps.join(crowded.select("rep").distinct(), "rep", "left_semi"), side, rows, level)
-        split = crowded.join(keys, "rep").select(F.xxhash64("key", "table", "k").alias("key"), "rep")
-        met = cut(_meet(split, bucket if level < DEPTH else 1 << 62))
-        pairs = pairs.unionByName(met.where("b >= 0"))
-        crowded = met.where("b < 0").select(F.col("a").alias("key"), (-1 - F.col("b")).alias("rep")).distinct()
+    crowded = met.where("b < 0").select(F.col("a").alias("key"), (-1 - F.col("b")).alias("rep"))
+    pairs = met.where("b >= 0").unionByName(_crowded(crowded, sketches, side, threshold))
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # sets of similarity t differ in at most (1 - t) / (1 + t) of their members' number, and their bitmaps in no more: nothing alike is ruled out
     bits = sketches.select("rep", "n", "bits")

@@ -28,7 +28,16 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.casefold())
 
 
+#: Tables that sample one random walk; the next ones walk anew, as a walk that misses its way misses it for all of its tables.
+TABLES_A_WALK = 4
+
+
 def embed(windows: np.ndarray, tables: int, sampled: int, seed: int) -> np.ndarray:
+    """Keys (tables x windows) from as many walks as the tables need."""
+    return np.concatenate([_walk(windows, min(TABLES_A_WALK, tables - t), sampled, seed + 1000 * t) for t in range(0, tables, TABLES_A_WALK)])
+
+
+def _walk(windows: np.ndarray, tables: int, sampled: int, seed: int) -> np.ndarray:
     """Keys (tables x windows): a hash of the symbols that the random walk of each window emits at the sampled steps.
 
     At each step the walk emits the symbol it stands on and goes on by one if the step's random bit for that
@@ -75,10 +84,10 @@ def within(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
 
 
 def tables_for(recall: float, edits: int, sampled: int, width: int) -> int:
-    """Tables needed so that a window `edits` edits away shares a key with the given probability (one edit moves the walk for about four steps)."""
+    """Tables needed so that a window `edits` edits away shares a key with the given probability (one edit moves the walk for about seven steps, as measured)."""
     if edits == 0:
         return 1
-    same = (1 - min(0.9, 4 * edits / (2 * width))) ** sampled
+    same = (1 - min(0.9, 7 * edits / (2 * width))) ** sampled
     return math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
@@ -95,6 +104,11 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
     item_keys = embed(item_windows, tables, sampled, seed)
     sorts = [np.argsort(k, kind="stable") for k in item_keys]
     sorted_keys = [k[o] for k, o in zip(item_keys, sorts, strict=True)]
+    # most keys are in no table: a bitmap over their low bits tells so at once
+    slots = np.uint64((1 << 18) - 1)
+    taken = np.zeros((tables, 1 << 18), bool)
+    for t in range(tables):
+        taken[t, (item_keys[t] & slots).astype(np.int64)] = True
 
     def find(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         get = vocabulary.get
@@ -116,17 +130,21 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
         keys = embed(windows, tables, sampled, seed)
         pairs = []
         for t in range(tables):
-            lo, hi = (np.searchsorted(sorted_keys[t], keys[t], side=s) for s in ("left", "right"))
-            some = np.flatnonzero(hi > lo)
-            count = (hi - lo)[some]
-            which = np.repeat(some, count)
+            some = np.flatnonzero(taken[t][(keys[t] & slots).astype(np.int64)])
+            lo, hi = (np.searchsorted(sorted_keys[t], keys[t][some], side=s) for s in ("left", "right"))
+            count = hi - lo
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            pairs.append(np.stack((which, sorts[t][lo[which] + step])))
+            pairs.append(np.stack((np.repeat(some, count), sorts[t][np.repeat(lo, count) + step])))
         window, item_window = np.unique(np.concatenate(pairs, 1), axis=1) if tables > 1 else pairs[0]
         same = (windows[window] == item_windows[item_window]).all(1)
         if edits:
+            doc = np.searchsorted(ends, at[window], side="right")
+            known = set(zip(doc[same].tolist(), item_of[item_window[same]].tolist(), strict=True))
             for k in np.flatnonzero(~same):
-                same[k] = within(windows[window[k]], item_windows[item_window[k]], edits)
+                pair = (int(doc[k]), int(item_of[item_window[k]]))
+                if pair not in known and within(windows[window[k]], item_windows[item_window[k]], edits):
+                    same[k] = True
+                    known.add(pair)
         doc = np.searchsorted(ends, at[window[same]], side="right")
         both = np.unique(np.stack((doc, item_of[item_window[same]])), axis=1)
         return both[0], both[1]

@@ -12,9 +12,9 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def records(corpus: DataFrame, least: int, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """Rows (id, tokens, key) of the records with at least `least` tokens; null tokens in a list are dropped first, repeated rows are one."""
+    """Rows (id, tokens, key) of the records with at least `least` tokens, three at any rate; null tokens in a list are dropped first, repeated rows are one."""
     tokens = F.filter(F.col(tokens_col), lambda t: t.isNotNull())
-    kept = corpus.where(F.col(id_col).isNotNull()).withColumn("_t", tokens).where(F.size("_t") >= least)
+    kept = corpus.where(F.col(id_col).isNotNull()).withColumn("_t", tokens).where(F.size("_t") >= max(least, 3))
     # unit separators keep apart what joining would merge
     key = F.sha2(F.array_join("_t", "\x1f"), 256)
     return kept.select(F.col(id_col).cast("long").alias("id"), F.col("_t").alias("tokens"), key.alias("key"), *[c for c in ("split", "source") if c in corpus.columns])
