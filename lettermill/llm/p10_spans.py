@@ -20,6 +20,8 @@ from .rolling import Hasher, code_points, winnow
 
 #: Code points of one shard's index.
 SHARD_CHARS = 1_000_000
+#: Places of one fingerprint in one index at most.
+GROUP_PLACES = 3_000
 
 
 def _gram(span: int) -> tuple[int, int]:
@@ -134,31 +136,33 @@ def matched(index_docs: np.ndarray, index_texts: list[str], docs: np.ndarray, te
     return lane, end - span - qs[lane], end - qs[lane]
 
 
-def _shards(rows: Iterator[pa.RecordBatch], span: int, first_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Match the rows (fp, doc, at, text, open) of a partition that is sorted by fp, shard by shard; gives (doc, start, end)."""
+def _shards(rows: Iterator[pa.RecordBatch], span: int, first_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Match the rows (fp, block, doc, at, text, own, open) of a partition that is sorted by fp and block; gives (doc, start, end).
 
-    def flush(fp: list, doc: list, at: list, text: list, ask: list):
-        docs, ats, asks = np.array(doc), np.array(at), np.array(ask, bool)
-        lane_of = np.flatnonzero(asks)
-        sizes = np.cumsum([len(t) for t in text])
-        for block in range(int(sizes[-1] // SHARD_CHARS) + 1):  # one block, unless a single fingerprint has more
-            part = np.flatnonzero(sizes // SHARD_CHARS == block)
-            if len(part) and len(lane_of):
-                lane, start, end = matched(docs[part], [text[i] for i in part], docs[lane_of], [text[i] for i in lane_of], span, first_only)
-                yield docs[lane_of][lane], ats[lane_of][lane] + start, ats[lane_of][lane] + end
+    Rows of one fp and block go into one index if they are its own, and are searched for if they are open. Small
+    groups share an index; a group is never larger than a block.
+    """
+
+    def flush(held: list[list]):
+        docs, ats, own, ask = np.array(held[2]), np.array(held[3]), np.array(held[5], bool), np.array(held[6], bool)
+        indexed, asked = np.flatnonzero(own), np.flatnonzero(ask)
+        if len(indexed) and len(asked):
+            text = held[4]
+            lane, start, end = matched(docs[indexed], [text[i] for i in indexed], docs[asked], [text[i] for i in asked], span, first_only)
+            yield docs[asked][lane], ats[asked][lane] + start, ats[asked][lane] + end
 
-    held: list[list] = [[], [], [], [], []]
+    held: list[list] = [[] for _ in range(7)]
     chars = 0
     for batch in rows:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if chars > SHARD_CHARS and held[0][-1] != row[0]:
-                yield from flush(*held)
-                held, chars = [[], [], [], [], []], 0
+            if chars > SHARD_CHARS and (held[0][-1], held[1][-1]) != row[:2]:
+                yield from flush(held)
+                held, chars = [[] for _ in range(7)], 0
             for column, value in zip(held, row, strict=True):
                 column.append(value)
-            chars += len(row[3])
+            chars += len(row[4])
     if held[0]:
-        yield from flush(*held)
+        yield from flush(held)
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,7 +189,13 @@ def shared_places(docs: DataFrame, id_col: str, text_col: str, span: int) -> Dat
 def _search(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, span: int, first_only: bool) -> DataFrame:
     """Run the index over places (fp, doc, pos, open)."""
     texts = _contexts(docs, places, id_col, text_col, span).join(hinted(places.where("open").select("fp", "doc").distinct().withColumn("open", F.lit(True)), 24), ["fp", "doc"], "left")
-    rows = texts.select("fp", "doc", "at", "text", F.coalesce("open", F.lit(False)).alias("open")).repartition("fp").sortWithinPartitions("fp", "doc", "at")
+    texts = texts.select("fp", "doc", "at", "text", F.coalesce("open", F.lit(False)).alias("open"))
+    # places of a hot fingerprint are indexed in blocks, each in a task of its own; what is searched for goes to every block
+    hot = places.groupBy("fp").count().where(F.col("count") > GROUP_PLACES).select("fp", F.ceil(F.col("count") / GROUP_PLACES).cast("int").alias("blocks"))
+    placed = texts.join(hinted(hot, 24), "fp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("doc", "at"), F.col("blocks")).cast("int")
+    rows = placed.withColumn("mine", mine).select("*", F.explode(F.when(F.col("open"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))).alias("block"))
+    rows = rows.select("fp", "block", "doc", "at", "text", (F.col("block") == F.col("mine")).alias("own"), "open").repartition("fp", "block").sortWithinPartitions("fp", "block", "doc", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, start, end in _shards(batches, span, first_only):

@@ -113,7 +113,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"), width=16, edits=2, sampled=4, recall=0.95)
+    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"), width=16, edits=1, sampled=6, recall=0.95)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
