@@ -51,6 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lettermill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.__dict__.setdefault("_lettermill_llm_tables", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,3 +75,10 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
 def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
     """The table, marked for broadcast if its counted size allows that; else joins shuffle it."""
     return F.broadcast(df) if small(df, row_bytes) else df
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this session's cuts have written; results that still depend on them can no longer be read."""
+    for path in spark.__dict__.pop("_lettermill_llm_tables", []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -80,8 +80,8 @@ SLASHED = re.compile(r"/ \S.{0,48} /")
 SIGNATURE_BAR = re.compile(r"--|__|~{4,}|={6,}|_{3,}")
 NOTICE = [re.compile(n) for n in NOTICES]
 LONE = re.compile(DEVICE)
-#: Tags that make a document HTML, whatever its type says.
-HTML = re.compile(r"(?i)^\s*<(?:!doctype|[a-z][a-z0-9]*[\s>/])|<(?:html|body|head|p|div|td|tr|table|ul|ol|li|br)\b[^<>]*>")
+#: A tag at its start that makes a document HTML, whatever its type says; stray tags elsewhere do not.
+HTML = re.compile(r"(?i)\s*<(?:!doctype|html|head|body|meta|title|style|script|div|p|h[1-6]|table|tbody|tr|td|ul|ol|li|pre|center|span|blockquote)\b[^<>]*>")
 
 
 @dataclass
@@ -238,7 +238,7 @@ def not_written(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", tex
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column(1).to_pylist()
-        found = [[] if "<" in t and HTML.search(t) else old_lines(t) for t in readable(sent.value, texts)]
+        found = [[] if "<" in t and HTML.match(t) else old_lines(t) for t in readable(sent.value, texts)]
         ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
         return {"doc_id": pa.array(ids, pa.int64()), "line_no": pa.array([k for x in found for k in x], pa.int64())}
 
@@ -250,7 +250,7 @@ def newly_written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Rows (doc_id, written): each e-mail reduced to what its sender newly wrote; HTML is left as it is, null stays null."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = [t if t is None or ("<" in t and HTML.search(t)) else written(t) for t in batch.column(1).to_pylist()]
+        out = [t if t is None or ("<" in t and HTML.match(t)) else written(t) for t in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "written": pa.array(out, pa.string())}
 
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id long, written string")
