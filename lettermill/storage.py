@@ -24,6 +24,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it back, so that later steps survive the loss of any executor."""
     path = f"{shared_dir(df.sparkSession)}/lettermill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.__dict__.setdefault("_lettermill_tables", []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -31,3 +32,10 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores if they come in fewer partitions; large inputs are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this session's cuts have written; results that still depend on them can no longer be read."""
+    for path in spark.__dict__.pop("_lettermill_tables", []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

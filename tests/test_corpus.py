@@ -96,3 +96,15 @@ def test_convolution_shapes(spark):
 def test_queries_without_sql_run(spark, data):
     for name in catalog.queries().keys() - catalog.oracle_sql().keys():
         assert catalog.queries()[name](spark, data).count() > 0, name
+
+
+def test_written_tables_are_cleared(spark):
+    from lettermill import storage
+
+    df = storage.cut(spark.createDataFrame([(1,)], "a int"))
+    assert df.count() == 1
+    path = df.inputFiles()[0].removeprefix("file:")
+    storage.clear(spark)
+    import os
+
+    assert not os.path.exists(path)
