@@ -83,3 +83,14 @@ def evaluate(scored: DataFrame, label: str, prediction: str = "prediction", prob
 def result_line(score, label, position, total, text):
     """A line of the validation dump."""
     return F.format_string("%3d %%  [%d/%d]   %8.5f / %8.5f  %s", score.cast("int"), position, total, score / 100, label.cast("double"), text)
+
+
+def save_weights(spark, weights: dict[str, np.ndarray], path: str) -> None:
+    """Weights as a table (name, shape, values), which can be read without running anything that it holds."""
+    rows = [(name, list(w.shape), [float(x) for x in w.ravel()]) for name, w in weights.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, values array<float>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark, path: str) -> dict[str, np.ndarray]:
+    """The weights that save_weights wrote: a dozen rows."""
+    return {r.name: np.array(r["values"], np.float32).reshape(r["shape"]) for r in spark.read.parquet(path).limit(1000).collect()}

@@ -223,3 +223,9 @@ def start_verdicts(messages: DataFrame, score, sink, checkpoint: str, **trigger)
         sink(scored.withColumn("actions", actions(F.col("verdict"))), number)
 
     return messages.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def logged_headers(rows: DataFrame) -> DataFrame:
+    """Rows (conn_id, seq, header, value) of the two headers that are logged as they pass: X-Grey-ng and From."""
+    frames_ = parsed(rows.where("cmd = 'L'"))
+    return frames_.select("conn_id", "seq", F.col("args")[0].alias("header"), F.try_element_at("args", F.lit(2)).alias("value")).where(F.col("header").isin("X-Grey-ng", "From"))
