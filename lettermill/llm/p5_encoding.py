@@ -27,9 +27,9 @@ LEAD, STRAY_LEAD = 1.5, 4.0
 SAMPLE_ROWS = 400
 
 #: Charsets in which text is misread. Fixed values.
-READ_AS = ["latin-1", "cp1252", "cp1250", "iso8859-2", "iso8859-15", "mac-roman", "mac-latin2", "cp437", "cp850", "cp852", "cp1251", "koi8-r", "cp1254", "cp1257"]
+READ_AS = ["latin-1", "cp1252", "cp1250", "iso8859-2", "iso8859-15", "mac-roman", "mac-latin2", "cp437", "cp850", "cp852", "cp1251", "koi8-r", "cp1254", "cp1257", "iso8859-16"]
 TWICE = ["latin-1", "cp1252", "cp1250", "iso8859-2", "mac-roman"]
-WRITTEN_IN = ["cp1252", "cp1250", "iso8859-2", "latin-1", "cp852", "cp850", "mac-roman", "iso8859-16"]
+WRITTEN_IN = ["cp1252", "cp1250", "iso8859-2", "latin-1", "cp852", "cp850", "mac-roman", "iso8859-16", "iso8859-15"]
 #: Marks that any of the languages may use; they stand in clean text of every language.
 MARKS = "€ £ § ° º ª « » ‹ › “ ” „ ‘ ’ ‚ – — … • · ¿ ¡ © ® ™ ± × ½ ¼ ² ³ µ †"
 #: Of these, the ones that a misread letter hardly ever turns into: a line with no others needs no closer look.
@@ -143,10 +143,10 @@ class Model:
         self.kind.append(-1)
         for i, chain in enumerate(self.chains):
             for lang in langs:
-                texts = [*samples[lang], *spelt[lang], *LINES]
-                garbled = [g for t in texts if (g := chain.garble(t)) != t]
-                counts = self._counts(garbled)
-                if counts.sum() and not any(np.array_equal(counts, r) for r in rows[: len(langs)]):
+                # the same lines as for the clean language, changed or not, so that only what a chain changes tells them apart
+                garbled = [chain.garble(t) for t in clean[lang]]
+                if garbled != clean[lang]:
+                    counts = self._counts(garbled)
                     rows.append(counts)
                     self.kind.append(i)
         self.counts = np.array(rows, np.uint16)
