@@ -13,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # small data that is heavy on CPU keeps its tasks
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
     "spark.ui.showConsoleProgress": "false",
 }

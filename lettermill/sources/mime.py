@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.html import cut_head, html_to_text, is_html
 from ..functions.text import decode_numeric
 from ..operators.addresses import decoded
+from ..storage import cut
 from .rtf import rtf_to_text
 
 #: Names of charsets that codecs do not know. Fixed values.
@@ -151,6 +152,7 @@ def candidates(parts: DataFrame) -> DataFrame:
     base = parts.withColumns({"ctype": ctype, "charset": repaired_charset(F.col("charset")), "kind": attachment_kind(F.col("ctype"), F.col("fname"))})
     inline = F.col("ctype").startswith("text/") & (F.coalesce(F.col("disp"), F.lit("")) != "attachment")
     texts = _read(base.where(inline).select("msg_no", "part_no", "ctype", "charset", "payload"), decode_mixed, ["payload", "charset"]).select("msg_no", "part_no", "ctype", decode_numeric(F.col("text")).alias("text")).where("text is not null")
+    texts = cut(texts)  # read several times below, decoded once
     texts = texts.withColumn("html", is_html(F.col("text"), F.col("ctype"))).withColumn("pid", F.concat_ws("/", "msg_no", "part_no"))
     visible = html_to_text(texts.where("html").withColumn("text", cut_head(F.col("text"))), "pid", "text").select(F.col("id").alias("pid"), F.col("text").alias("visible"))
     texts = texts.join(visible, "pid", "left").withColumn("text", F.when(F.col("html"), F.coalesce("visible", F.lit(""))).otherwise(F.col("text")))
