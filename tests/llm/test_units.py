@@ -217,3 +217,18 @@ def test_forms():
     assert kinds.count("email") == 3 and kinds.count("phone") == 2 and kinds.count("address") == 3
     out = p3_personal.redact("Dear Anna Doe,\nmy passport no. is 123 456 789, order 123 456 789.", frozenset({"anna", "doe"}), frozenset())
     assert out == "Dear [NAME],\nmy passport no. is [ID_NUMBER], order 123 456 789."
+
+
+def test_matches_in_small_turns(monkeypatch):
+    from lettermill.llm import p2_splits
+
+    rng = np.random.default_rng(4)
+    held = [rng.integers(0, 6, 30) for _ in range(6)]
+    asked = [np.concatenate((h[:12], [9], h[13:])) for h in held] + [rng.integers(20, 30, 30)]
+    flat = lambda xs: (np.concatenate(xs).astype(np.uint64), np.cumsum([0, *map(len, xs)]))
+    shard = p2_splits.Shard(np.arange(100, 106), *flat(held))
+    whole = [x.tolist() for x in shard.alike(np.arange(7), *flat(asked), 0.5)]
+    assert list(zip(*whole[:2], strict=True)) == [(k, 100 + k) for k in range(6)]
+    monkeypatch.setattr(p2_splits, "OCCURRENCES", 2)
+    assert [x.tolist() for x in shard.alike(np.arange(7), *flat(asked), 0.5)] == whole
+    assert all(len(x) == 0 for x in shard.alike(np.arange(1), *flat(asked[6:]), 0.5))
