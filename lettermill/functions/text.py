@@ -45,6 +45,12 @@ def redact(text: Column) -> Column:
     return F.regexp_replace(text, DOMAIN, "domainname")
 
 
+def _map(table: dict[str, str]) -> Column:
+    """A map literal, in one expression instead of one call for each entry."""
+    quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")")
+
+
 def _rebuilt(text: Column, pattern: str, replaced) -> Column:
     """The text with each match of the pattern replaced by a function of its first group, in a single pass."""
 
@@ -63,8 +69,7 @@ def _entities() -> dict[str, str]:
 
 def decode_entities(text: Column) -> Column:
     """Named entities to characters; unknown and numeric ones to '?'. Leftmost first, once."""
-    pairs = [F.lit(x) for name, char in _entities().items() for x in (name, char)]
-    table = F.create_map(*pairs)
+    table = _map(_entities())
     return _rebuilt(text, ENTITY, lambda name: F.coalesce(F.try_element_at(table, name), F.lit("?")))
 
 
@@ -120,7 +125,7 @@ def fold(text: Column) -> Column:
     single = {k: v for k, v in table.items() if len(v) == 1}
     several = {k: v for k, v in table.items() if len(v) > 1}
     pattern = "(?=[^\\x00-\\x7F])([" + _ranges(several) + "])"  # ASCII is passed over by the first test
-    pairs = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    pairs = _map(several)
 
     def widened(t: Column) -> Column:
         found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), lambda c: F.element_at(pairs, c))
