@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..storage import cut
 
 LENGTH = 100
 SHINGLE = 7
+#: Shingles of open rows that one task of the greedy de-duplication settles at a time.
+SETTLE = 500_000
 
 
 def best_candidate(rows: DataFrame, key: str, order: str, size: str) -> DataFrame:
@@ -46,26 +52,73 @@ def near_dedup(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     return rows.select(key, F.size(tokens).alias("size")).join(seen, key, "left").select(key, F.coalesce("seen", F.lit(0)).alias("seen"), (F.coalesce("seen", F.lit(0)) <= _limit(F.col("size"))).alias("kept"))
 
 
-def near_dedup_greedy(rows: DataFrame, key: str, tokens: str, rounds: int = 50) -> DataFrame:
+def near_dedup_greedy(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     """Rows (key, seen, kept) where only kept rows count as earlier ones, as if rows came one by one.
 
-    The test is repeated against the rows kept so far until nothing changes: the first k rows are right after k
-    rounds at the latest, and in practice a few rounds do.
+    In each round an open row is settled if it is kept even when all open rows before it are, or dropped even when
+    none is; from the second round on the first open rows are also settled one by one, in the order of the key, by
+    one task. At least the first open row is settled each time, so that chains of any length come to an end.
     """
     rows = cut(rows.select(key, tokens))
     grams = cut(shingles(rows, key, tokens).groupBy(key, "shingle").agg(F.count("*").alias("n")))
     sizes = cut(rows.select(key, F.size(tokens).alias("size")))
-    kept = cut(sizes.select(key))
-    result = None
-    for _ in range(rounds):
-        first = grams.join(kept, key, "left_semi").groupBy("shingle").agg(F.min(key).alias("first"))
-        seen = grams.join(first, "shingle").groupBy(key).agg(F.sum(F.when(F.col("first") < F.col(key), F.col("n")).otherwise(0)).alias("seen"))
-        result = cut(sizes.join(seen, key, "left").select(key, F.coalesce("seen", F.lit(0)).alias("seen"), (F.coalesce("seen", F.lit(0)) <= _limit(F.col("size"))).alias("kept")))
-        now = result.where("kept").select(key)
-        if now.join(kept, key, "left_anti").isEmpty() and kept.join(now, key, "left_anti").isEmpty():
-            return result
-        kept = now
-    raise RuntimeError(f"near_dedup_greedy has not settled in {rounds} rounds")
+    kept, rest = None, sizes
+    while True:
+        mine = grams.join(rest.select(key), key, "left_semi")
+        maybe = mine.groupBy("shingle").agg(F.min(key).alias("maybe"), F.count("*").alias("owners"))
+        marked = mine.join(maybe, "shingle")
+        if kept is None:
+            marked = marked.withColumn("first", F.lit(None).cast(rows.schema[key].dataType))
+        else:
+            marked = cut(marked.join(_first_owner(grams, kept, key), "shingle", "left"))
+        owned, risky = F.coalesce(F.col("first") < F.col(key), F.lit(False)), F.col("maybe") < F.col(key)
+        bounds = marked.groupBy(key).agg(F.sum(F.when(owned, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(owned | risky, F.col("n")).otherwise(0)).alias("high"))
+        bounds = rest.join(bounds, key, "left").select(key, "size", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.lit(0)).alias("high"))
+        sure = F.when(F.col("high") <= _limit(F.col("size")), True).when(F.coalesce(F.col("low") > _limit(F.col("size")), F.lit(True)), False)
+        if kept is None:
+            told = cut(bounds.select(key, "size", sure.alias("ok")))
+        else:
+            bounds = cut(bounds)
+            left = marked.where(~owned & (F.col("owners") > 1))
+            told = cut(bounds.join(_one_by_one(bounds, left, key), key, "left").select(key, "size", F.coalesce("ok", sure).alias("ok")))
+        more = told.where("ok").select(key)
+        kept = cut(more if kept is None else kept.unionByName(more))
+        rest = told.where("ok is null").select(key, "size")
+        if rest.isEmpty():
+            break
+    seen = grams.join(_first_owner(grams, kept, key), "shingle").groupBy(key).agg(F.sum(F.when(F.col("first") < F.col(key), F.col("n")).otherwise(0)).alias("seen"))
+    return sizes.join(seen, key, "left").select(key, F.coalesce("seen", F.lit(0)).alias("seen"), (F.coalesce("seen", F.lit(0)) <= _limit(F.col("size"))).alias("kept"))
+
+
+def _first_owner(grams: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Rows (shingle, first): the first of the kept rows that have it."""
+    return grams.join(kept, key, "left_semi").groupBy("shingle").agg(F.min(key).alias("first"))
+
+
+def _one_by_one(bounds: DataFrame, left: DataFrame, key: str) -> DataFrame:
+    """Rows (key, ok) of the first open rows, by bounds (key, size, low) and their shingles (key, shingle, n) that no kept row before them has.
+
+    As many rows are taken as have about SETTLE such shingles; one task walks through them and holds no more than these.
+    """
+    total = left.count()
+    if total > SETTLE:
+        last = bounds.orderBy(key).limit(max(1, bounds.count() * SETTLE // total)).agg(F.max(key)).first()[0]
+        bounds, left = bounds.where(F.col(key) <= last), left.where(F.col(key) <= last)
+    lists = left.groupBy(key).agg(F.collect_list("shingle").alias("shingles"), F.collect_list("n").alias("ns"))
+    ordered = bounds.join(lists, key, "left").select(key, (_limit(F.col("size")) - F.col("low")).alias("room"), "shingles", "ns").repartition(1).sortWithinPartitions(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owned: set[str] = set()
+        for batch in batches:
+            ok = []
+            for room, grams, ns in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                grams = grams or []
+                ok.append(room is not None and sum(n for g, n in zip(grams, ns or [], strict=True) if g in owned) <= room)
+                if ok[-1]:
+                    owned.update(grams)
+            yield pa.RecordBatch.from_pydict({key: batch.column(0), "ok": pa.array(ok, pa.bool_())})
+
+    return ordered.mapInArrow(run, StructType([bounds.schema[key], StructField("ok", BooleanType())]))
 
 
 def vocabulary(rows: DataFrame, tokens: str, least: int = 1) -> DataFrame:

@@ -108,3 +108,26 @@ def test_written_tables_are_cleared(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def _one_by_one(rows):
+    owned, out = set(), {}
+    for i, t in sorted(rows):
+        grams = [tuple(t[k : k + 7]) for k in range(len(t) - 6)]
+        seen = sum(g in owned for g in grams)
+        out[i] = (seen, seen <= (len(t) - 10) * 4 / 5.0)
+        if out[i][1]:
+            owned.update(grams)
+    return out
+
+
+def test_greedy_near_dedup_settles_long_chains(spark, monkeypatch):
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, words[8 * i : 8 * i + 80]) for i in range(90)] + [(500 + i, words[1500 + 40 * i : 1560 + 40 * i]) for i in range(5)] + [(900, []), (901, words[:9])]
+    df = spark.createDataFrame([*rows, (902, None)], SCHEMA)
+    want = _one_by_one(rows)
+    got = {r.id: (r.seen, r.kept) for r in corpus.near_dedup_greedy(df, "id", "tokens").collect()}
+    assert got.pop(902)[1] is None and got == want
+    # a part at a time
+    monkeypatch.setattr(corpus, "SETTLE", 3000)
+    assert {r.id: (r.seen, r.kept) for r in corpus.near_dedup_greedy(df, "id", "tokens").where("id <> 902").collect()} == want
