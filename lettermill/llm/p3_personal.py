@@ -317,14 +317,22 @@ def redact(text: str, names: frozenset[str], contexts: frozenset[str]) -> str:
 
 
 def redacted(docs: DataFrame, log: DataFrame, names: DataFrame, samples: DataFrame | Broadcast | None = None) -> DataFrame:
-    """Rows (tbl, row_id, text): documents and log lines with placeholders; null stays null, log lines are joined by blanks."""
+    """Rows (tbl, row_id, text): documents and log lines with placeholders; null stays null, log lines are joined by blanks.
+
+    With samples garbled documents are read, and come out, as restored.
+    """
+    samples = None if samples is None else sent_model(samples)
     found, logged, lexicon, contexts, _ = analysed(docs.where("row_id is not null and length(text) > 0"), log.where("row_id is not null and size(tokens) > 0"), names, samples)
     lexicon, contexts = hinted(lexicon, 48), hinted(contexts, 96)
     lines = log.select("row_id", F.array_join("tokens", " ").alias("text"))
     words = log.select("row_id", F.explode("tokens").alias("word")).select("row_id", F.lower(F.expr("trim(both '.,:;!?()/<>' from word)")).alias("token"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        if samples is not None:
+            some = [k for k, r in enumerate(rows) if r[0] == "documents" and r[2] is not None]
+            for k, t in zip(some, readable(samples.value, [rows[k][2] for k in some]), strict=True):
+                rows[k] = (*rows[k][:2], t, *rows[k][3:])
         out = [(tbl, i, None if t is None else _line(t, frozenset(n or ()), frozenset(c or ())) if tbl == "score_log" else redact(t, frozenset(n or ()), frozenset(c or ()))) for tbl, i, t, n, c in rows]
         return {"tbl": pa.array([r[0] for r in out], pa.string()), "row_id": pa.array([r[1] for r in out], pa.int64()), "text": pa.array([r[2] for r in out], pa.string())}
 

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,9 +223,9 @@ def old_lines(text: str) -> list[int]:
     return sorted(set(out))
 
 
-def written(text: str) -> str:
-    """Only the newly written lines, without the blank ones at either end."""
-    old = set(old_lines(text))
+def written(text: str, read: str | None = None) -> str:
+    """Only the newly written lines, without the blank ones at either end; read is the text as restored, line by line."""
+    old = set(old_lines(text if read is None else read))
     kept = [line for k, line in enumerate(text.split("\n"), 1) if k not in old]
     return re.sub(r"(?:[ \t\r]*\n){3,}", "\n\n", "\n".join(kept)).strip()
 
@@ -246,11 +247,21 @@ def not_written(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", tex
     return map_arrow(rows, run, "doc_id long, line_no long").distinct()
 
 
-def newly_written(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, written): each e-mail reduced to what its sender newly wrote; HTML is left as it is, null stays null."""
+def newly_written(docs: DataFrame, samples: DataFrame | Broadcast | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, written): each e-mail reduced to what its sender newly wrote; HTML is left as it is, null stays null.
+
+    With samples of clean text the lines of garbled documents are told by the restored text; they are kept as they stand.
+    """
+    sent = None if samples is None else sent_model(samples)
 
     def run(batch: pa.RecordBatch) -> dict:
-        out = [t if t is None or ("<" in t and HTML.match(t)) else written(t) for t in batch.column(1).to_pylist()]
+        texts = batch.column(1).to_pylist()
+        some = [t for t in texts if t is not None]
+        read = iter(some if sent is None else readable(sent.value, some))
+        out = []
+        for t in texts:
+            r = None if t is None else next(read)
+            out.append(t if t is None or ("<" in r and HTML.match(r)) else written(t, r))
         return {"doc_id": batch.column(0), "written": pa.array(out, pa.string())}
 
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), run, "doc_id long, written string")

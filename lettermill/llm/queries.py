@@ -67,7 +67,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return newly_written(table(spark, sf_dir, "documents", "doc_id", "text", "ctype").where(is_plain()))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "ctype").where(is_plain())
+    return newly_written(docs, table(spark, sf_dir, "lang_samples", "lang", "sample_no", "text"))
 
 
 def _garbled(spark: SparkSession, sf_dir: str, texts_too: bool) -> DataFrame:

@@ -220,3 +220,19 @@ def test_packing(spark, data, odd_docs, none):
     assert all(r.fill > 0.9 for r in whole if r.tokens > 20 * r.capacity)
     assert p8_packing.pack(none, specs).count() == p8_packing.pack(odd_docs, specs.limit(0)).count() == 0
     assert {r.doc_id for r in p8_packing.pack(odd_docs, specs).collect()} == {3, 4}
+
+
+def test_garbled_mail_is_written_and_redacted_as_restored(spark, samples):
+    clean = "Kérjük, a szűrőbetét még mindig a régi helyén legyen.\n\n2024. 05. 03. 10:12 keltezéssel Kovács Anna írta:\n: Az őszi szállítmány már megérkezett.\n: Köszönöm a gyors választ."
+    garbled = clean.encode().decode("latin-1")
+    docs = spark.createDataFrame([(1, garbled), (2, None), (3, clean)], "doc_id long, text string")
+    out = {r.doc_id: r.written for r in p4_quotes.newly_written(docs, samples).collect()}
+    old = {(r.doc_id, r.line_no) for r in p4_quotes.not_written(docs, samples).collect()}
+    assert (1, 4) in old and {k for d, k in old if d == 1} == {k for d, k in old if d == 3}
+    assert out == {1: garbled.split("\n")[0], 2: None, 3: clean.split("\n")[0]}
+    text = "Tisztelt Márton Ödön, a szűrőbetét még mindig a régi helyén van.\nSzemélyi igazolványom száma: 123456AB."
+    rows = spark.createDataFrame([(1, text.encode().decode("latin-1")), (2, None), (3, text)], "row_id long, text string")
+    log = spark.createDataFrame([], "row_id long, tokens array<string>")
+    names = spark.createDataFrame([("Márton",), ("Ödön",)], "name string")
+    got = {r.row_id: r.text for r in p3_personal.redacted(rows, log, names, samples).collect()}
+    assert "[NAME]" in got[3] and got[1] == got[3] and got[2] is None
