@@ -21,6 +21,7 @@ from .common import map_arrow
 WORD = re.compile(r"[^\W_]+")
 #: Characters of item texts in one block; each block is a query set of its own against the corpus.
 BLOCK_CHARS = 4_000_000
+PAIRS = 50_000  # candidates compared at a time
 STEPS = 3  # the walk takes at most this many steps a word
 
 
@@ -69,6 +70,22 @@ def _walk(windows: np.ndarray, tables: int, sampled: int, seed: int) -> np.ndarr
     return keys
 
 
+def hold(regions: np.ndarray, windows: np.ndarray, edits: int) -> np.ndarray:
+    """Whether each row of regions has a stretch, of any length, at most `edits` edits from its row of windows."""
+    if not len(regions):
+        return np.zeros(0, bool)
+    regions, windows = np.ascontiguousarray(regions.T), np.ascontiguousarray(windows.T)
+    row = np.zeros((len(regions) + 1, regions.shape[1]), np.int16)  # a stretch starts anywhere
+    for word in windows:
+        new = np.empty_like(row)
+        new[0] = row[0] + 1
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (regions != word))
+        for j in range(1, len(row)):
+            np.minimum(new[j], new[j - 1] + 1, out=new[j])
+        row = new
+    return row.min(0) <= edits  # and ends anywhere
+
+
 def within(a: np.ndarray, b: np.ndarray, edits: int) -> bool:
     """Whether the edit distance of two short sequences is at most `edits`."""
     if edits == 0 or np.array_equal(a, b):
@@ -112,7 +129,9 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
 
     def find(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         get = vocabulary.get
-        found = [WORD.findall(t.casefold()) for t in texts]
+        # a passage that lacks words may end with the text: each text gets so many words that no item has
+        tail = [""] * edits
+        found = [WORD.findall(t.casefold()) + tail for t in texts]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((get(w, 0) for ws in found for w in ws), np.uint32, int(sizes.sum()))
         ends = np.cumsum(sizes)
@@ -139,12 +158,14 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
         same = (windows[window] == item_windows[item_window]).all(1)
         if edits:
             doc = np.searchsorted(ends, at[window], side="right")
-            known = set(zip(doc[same].tolist(), item_of[item_window[same]].tolist(), strict=True))
-            for k in np.flatnonzero(~same):
-                pair = (int(doc[k]), int(item_of[item_window[k]]))
-                if pair not in known and within(windows[window[k]], item_windows[item_window[k]], edits):
-                    same[k] = True
-                    known.add(pair)
+            _, pair = np.unique(np.stack((doc, item_of[item_window])), axis=1, return_inverse=True)
+            left = np.flatnonzero(~np.isin(pair, pair[same]))
+            reach = np.arange(-edits, width + edits)
+            for part in np.array_split(left, len(left) // PAIRS + 1):
+                place = at[window[part]][:, None] + reach
+                inside = (place >= (ends - sizes)[doc[part]][:, None]) & (place < ends[doc[part]][:, None])
+                regions = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], 0)
+                same[part] = hold(regions, item_windows[item_window[part]], edits)
         doc = np.searchsorted(ends, at[window[same]], side="right")
         both = np.unique(np.stack((doc, item_of[item_window[same]])), axis=1)
         return both[0], both[1]

@@ -236,3 +236,21 @@ def test_garbled_mail_is_written_and_redacted_as_restored(spark, samples):
     names = spark.createDataFrame([("Márton",), ("Ödön",)], "name string")
     got = {r.row_id: r.text for r in p3_personal.redacted(rows, log, names, samples).collect()}
     assert "[NAME]" in got[3] and got[1] == got[3] and got[2] is None
+
+
+def test_near_leaks_find_added_and_dropped_words(spark, data):
+    rng = random.Random(5)
+    items = duckdb.sql(f"SELECT item_id, text FROM '{data}/heldout_items.parquet'").fetchall()
+    held = spark.read.parquet(f"{data}/heldout_items.parquet")
+    for kind in ("insert", "drop"):
+        rows = []
+        for i, t in items:
+            w = p9_leaks.words(t)
+            for _ in range(4 if len(w) >= 20 else 0):
+                s, k = rng.randrange(len(w) - 15), rng.randrange(1, 15)
+                p = w[s : s + 16]
+                p[k : k + (kind == "drop")] = [] if kind == "drop" else ["changed"]
+                rows.append((len(rows), i, " ".join(p) if len(rows) % 2 else "before it " + " ".join(p) + " behind"))
+        docs = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")
+        got = {tuple(r) for r in p9_leaks.leaks(docs, held, width=16, edits=1, sampled=6, recall=0.95).collect()}
+        assert sum((d, i) in got for d, i, _ in rows) >= 0.95 * len(rows)
