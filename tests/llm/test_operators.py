@@ -254,3 +254,23 @@ def test_near_leaks_find_added_and_dropped_words(spark, data):
         docs = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")
         got = {tuple(r) for r in p9_leaks.leaks(docs, held, width=16, edits=1, sampled=6, recall=0.95).collect()}
         assert sum((d, i) in got for d, i, _ in rows) >= 0.95 * len(rows)
+
+
+def test_matched_spans_are_whole(spark, data):
+    rng = random.Random(3)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    base = [f"w{k}" for k in range(40)]
+    rows = [(1, base, "validation"), (2, [*fresh(4), *base[5:13], *fresh(11), *base[20:29], *fresh(10)], "train"), (3, [*fresh(12), *base[10:17], *fresh(6)], "train")]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, split string").withColumn("source", F.lit(None).cast("string"))
+    assert {tuple(r) for r in p2_splits.matched_spans(df).collect()} == {(2, 4, 12), (2, 23, 32)}
+    records = [(i, [x for x in t if x is not None], s) for i, t, s in duckdb.sql(f"SELECT id, tokens, split FROM '{data}/mail_corpus.parquet' WHERE id IS NOT NULL AND tokens IS NOT NULL").fetchall()]
+    runs = {tuple(t[k : k + 8]) for _, t, s in records if s == "validation" and len(t) >= 20 for k in range(len(t) - 7)}
+    want = set()
+    for i, t, s in records:
+        if s != "train" or len(t) < 20:
+            continue
+        covered = sorted({j for k in range(len(t) - 7) if tuple(t[k : k + 8]) in runs for j in range(k, k + 8)})
+        for _, part in itertools.groupby(enumerate(covered), lambda x: x[1] - x[0]):
+            part = [j for _, j in part]
+            want.add((i, part[0], part[-1] + 1))
+    assert {tuple(r) for r in queries.p2_spans(spark, data).collect()} == want
