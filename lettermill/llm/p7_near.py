@@ -211,11 +211,34 @@ def expand(members: DataFrame, alike: DataFrame) -> DataFrame:
     return linked.join(left, "a").join(right, "b").where("x <> y and (a <> b or x < y)").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def near_groups(corpus: DataFrame, threshold: float = 0.8, least: int = 20) -> DataFrame:
-    """Rows (id, class_id, copies, links): each record's class of copies, its size, and the number of other classes that are alike."""
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (a, b): each node of edges (a, b) but the least of its component, and that least node.
+
+    Nodes are hung on the least neighbour in turn, the larger neighbours of each and then the smaller ones, until all hang on nodes that hang on none.
+    """
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        hung = edges.select("a").intersect(edges.select("b"))
+        if hung.isEmpty() and edges.groupBy("a").count().where("count > 1").isEmpty():
+            return edges
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), "a").alias("m"))
+        large = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+
+
+def near_groups(corpus: DataFrame, threshold: float = 0.5, least: int = 20) -> DataFrame:
+    """Rows (id, group_id, class_id, copies, links): each record's group, its class of copies, its size, and the number of other classes that are alike.
+
+    Groups are the connected components of the alike classes, named by their least id: two records of a group are
+    linked by a chain of alike records, and may be less alike themselves.
+    """
     members, reps = classes(_train(corpus, least))
     reps = cut(reps)
-    alike = similar_classes(reps, threshold)
+    alike = cut(similar_classes(reps, threshold))
+    groups = components(alike.select("a", "b")).select(F.col("a").alias("rep"), F.col("b").alias("group_id"))
     links = alike.select(F.col("a").alias("rep")).unionByName(alike.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     copies = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    return members.join(copies, "rep").join(links, "rep", "left").select("id", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(copies, "rep").join(links, "rep", "left").join(groups, "rep", "left").select("id", F.coalesce("group_id", "rep").alias("group_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

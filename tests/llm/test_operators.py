@@ -274,3 +274,20 @@ def test_matched_spans_are_whole(spark, data):
             part = [j for _, j in part]
             want.add((i, part[0], part[-1] + 1))
     assert {tuple(r) for r in queries.p2_spans(spark, data).collect()} == want
+
+
+def test_groups_of_near_copies(spark, data):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(99, 50), (60, 50), (60, 99), (70, 80)], "a long, b long")
+    assert {tuple(r) for r in p7_near.components(edges).collect()} == {(k, 0) for k in range(1, 31)} | {(99, 50), (60, 50), (80, 70)}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in ((r.id_a, r.id_b) for r in queries.p7_found(spark, data).collect()):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    groups = {r.id: r.group_id for r in queries.p7_groups(spark, data).collect()}
+    assert groups == {i: find(i) for i in groups} and len(set(groups.values())) < len(groups)
