@@ -1,8 +1,9 @@
 """Markup residue: which kinds a document holds, and the document as clean text that keeps its structure.
 
-Lines are labelled by minimum cuts. Patterns vote on each line for each kind of markup (terminal capacities),
-neighbouring lines pull each other along (smoothness edges), so that a lone dash or number is text and the
-same dash below a heading is a list. In HTML, another cut separates blocks of content from boilerplate, with
+A line that a strong pattern matches is markup. Lines that only weak patterns match (list items, table rows, short
+formulas) are labelled by a minimum cut: they vote (terminal capacities) the stronger the more their neighbours go on
+like them, and neighbours pull each other along (smoothness edges), so that a lone dash or number is text and three
+dashes in a row are a list. The votes are set by hand, not fitted. In HTML, another cut separates blocks of content from boilerplate, with
 edges between neighbouring blocks and between blocks of the same parent element.
 """
 
@@ -10,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
 from html.entities import html5
 
 import numpy as np
@@ -27,8 +27,10 @@ TAGS = "html|head|body|title|meta|link|base|style|script|noscript|div|p|span|br|
 _TAG = rf"</?(?:{TAGS}|[a-z]+:[a-z]+)\b(?:\s[^<>]*|\s*/?)>"
 _NAMES = frozenset(n[:-1] for n in html5 if n.endswith(";"))
 
-#: Votes for a line: a strong pattern, a weak one, and none at all.
+#: Votes for a line: a strong pattern, a weak one, and none at all; what a weak line gains from each neighbour that
+#: goes on like it. Set by hand: a run of three between other lines wins, a run of two does not.
 STRONG, WEAK, NONE = 6.0, -0.4, -1.0
+LIKE = 0.75
 SMOOTH = 0.8
 
 #: Strong and weak patterns of each kind.
@@ -93,35 +95,69 @@ def _counts(kind: str, text: str, m: re.Match) -> bool:
     return True
 
 
+_NUMBERED = re.compile(r" {0,3}(\d{1,2})([.)]) \S")
+_BULLET = re.compile(r" {0,3}([-*+]) \S")
+_NESTED = re.compile(r"(\*{1,4}) ?(?!.*\*\*)[^\s*]")
+
+
+def _alike(kind: str, a: str, b: str) -> bool:
+    """Whether a weak line b goes on like the weak line a before it; quote marks of mail never do."""
+    if kind == "markdown":
+        x, y = _NUMBERED.match(a), _NUMBERED.match(b)
+        if x and y:
+            return x[2] == y[2] and int(y[1]) - int(x[1]) in (0, 1)
+        x, y = _BULLET.match(a), _BULLET.match(b)
+        if x and y:
+            return x[1] == y[1]
+        return a[0] == b[0] == "|" and a.count("|") == b.count("|") > 2
+    if kind == "wiki":
+        if a[0] in ";:" and b[0] in ";:":
+            return ";" in a[0] + b[0]
+        if a[0] == b[0] == "|":
+            return ("||" in a and "||" in b) or (a.strip() == "|-") != (b.strip() == "|-")
+        x, y = _NESTED.match(a), _NESTED.match(b)
+        # a flat list is Markdown as well; stars are nested in wikis only
+        return bool(x and y and len(x[1] + y[1]) > 2)
+    return True
+
+
 def kinds(text: str) -> list[str]:
     """The kinds of markup in a text: html, markdown, wiki, latex."""
     out = []
-    ends: list[int] | None = None
     for kind, (strong, weak) in PATTERNS.items():
-        if not any(x in text for x in _NEEDS[kind]):
-            continue
-        sure = [m.start() for m in strong.finditer(text) if _counts(kind, text, m)]
-        if sure and weak is None:
-            out.append(kind)  # every vote outweighs its edges
+        if not any(x in text for x in _NEEDS[kind]) and (weak is None or not weak.search(text)):
             continue
-        if not sure and (weak is None or not weak.search(text)):
-            continue
-        if ends is None:
-            ends = [m.start() for m in re.finditer("\n", text)]
-        votes = [NONE] * (len(ends) + 1)
-        if weak is not None:
-            for m in weak.finditer(text):
-                votes[bisect_right(ends, m.start() - 1)] = WEAK
-        for at in sure:
-            votes[bisect_right(ends, at - 1)] = STRONG
-        near = [k for k, v in enumerate(votes) if v != NONE or (k and votes[k - 1] != NONE) or (k + 1 < len(votes) and votes[k + 1] != NONE)]
-        edges = [(a, a + 1, SMOOTH) for a in range(len(near) - 1) if near[a + 1] == near[a] + 1]
-        picked = label([votes[k] for k in near], edges)
-        if any(p and votes[k] > NONE for p, k in zip(picked, near, strict=True)):
+        # a strong line outweighs all its edges, so that only texts without one need the cut
+        if any(_counts(kind, text, m) for m in strong.finditer(text)) or (weak is not None and _together(kind, text, weak)):
             out.append(kind)
     return out
 
 
+def _together(kind: str, text: str, weak: re.Pattern) -> bool:
+    """Whether weak lines win together: a minimum cut over the lines that are not blank, between two ends that are no markup."""
+    starts = sorted({text.rfind("\n", 0, m.start()) + 1 for m in weak.finditer(text)})
+    if len(starts) < 3:
+        return False
+    votes, lines, at = [NONE], [""], 0
+    some = set(starts)
+    for line in text.split("\n"):
+        if line.strip():
+            votes.append(WEAK if at in some else NONE)
+            lines.append(line)
+        at += len(line) + 1
+    votes.append(NONE)
+    lines.append("")
+    for k in range(len(votes) - 1):
+        if votes[k] != NONE and votes[k + 1] != NONE and _alike(kind, lines[k], lines[k + 1]):
+            votes[k] += LIKE
+            votes[k + 1] += LIKE
+    if max(votes) <= 0:
+        return False
+    near = [k for k, v in enumerate(votes) if v != NONE or (k and votes[k - 1] != NONE) or (k + 1 < len(votes) and votes[k + 1] != NONE)]
+    edges = [(a, a + 1, SMOOTH) for a in range(len(near) - 1) if near[a + 1] == near[a] + 1]
+    return any(label([votes[k] for k in near], edges))
+
+
 def with_markup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, kind): each kind of markup that a document holds.
 

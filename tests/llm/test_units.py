@@ -232,3 +232,16 @@ def test_matches_in_small_turns(monkeypatch):
     monkeypatch.setattr(p2_splits, "OCCURRENCES", 2)
     assert [x.tolist() for x in shard.alike(np.arange(7), *flat(asked), 0.5)] == whole
     assert all(len(x) == 0 for x in shard.alike(np.arange(1), *flat(asked[6:]), 0.5))
+
+
+def test_weak_markup_lines_win_together():
+    kinds = p6_markup.kinds
+    assert kinds("Shopping:\n" + "".join(f"- item {k}\n" for k in range(30)) + "Bye") == ["markdown"]
+    assert kinds("Steps\n\n1. open\n\n2. read\n\n3. close\n\nBye") == ["markdown"]
+    assert kinds("Prices\n| a | b |\n| 1 | 2 |\n| 3 | 4 |\nBye") == ["markdown"]
+    assert kinds("Terms\n; mail : letter\n; list : letters\n; spam : junk\nBye") == ["wiki"]
+    assert "wiki" in kinds("Parts\n* body\n** head\n** tail\n* end\nBye")
+    assert kinds("Sets\n$a$ is one\n$b$ is two\n$c$ is three\nBye") == ["latex"]
+    # a lone dash or date, mail quotes and separators are none
+    for text in ("We met\n- by chance -\nthere", "Born\n20. 2. 1999\nthere", "He wrote\n: one\n: two\n: three\n: four\n", "He wrote\n| one\n| two\n| three\n|\n| four\n", "Hi\n\n-- \nJo\n", "*****\n***** Text *****\n*****"):
+        assert kinds(text) == [], text
