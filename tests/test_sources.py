@@ -56,6 +56,13 @@ def test_text_files(spark, tmp_path):
         (r"{\rtf1\uc1\u337?z}", "őz"),
         (r"{\rtf1 a\'e9", "a"),
         (r"{\rtf1 \{b\}}", "{b}"),
+        (r"{\rtf1 a{\listtext x}{\shpinst y}{\mmodsofilter z}b\rquote c}", "ab’c"),
+        (r'{\rtf1 see {\field{\*\fldinst{HYPERLINK "http://x.test/a"}}{\fldrslt{here}}}.}', 'see here("http://x.test/a").'),
+        (r"{\rtf1\uc2\u337??{\uc0\u369}\u225\'61?z}", "őűáz"),
+        (r"{\rtf1 a}b{\b c}}lost", "abc"),
+        ("plain text, no RTF", "plain text, no RTF"),
+        ("{" * 5000 + "deep", "deep"),
+        ("", ""),
     ],
 )
 def test_rtf(rtf, text):
