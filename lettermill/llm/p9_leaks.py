@@ -2,12 +2,14 @@
 
 Windows of words are embedded by the CGK random walk, which turns edit distance into Hamming distance, and
 looked up by sampled symbols of the embedding in tables of the items' windows; an exact edit distance decides.
+Windows that hold no whole piece of any item window cannot be that near to one and are not embedded.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -20,7 +22,7 @@ from .common import map_arrow
 #: Maximal runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 #: Characters of item texts in one block; each block is a query set of its own against the corpus.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 PAIRS = 50_000  # candidates compared at a time
 STEPS = 3  # the walk takes at most this many steps a word
 
@@ -108,14 +110,44 @@ def tables_for(recall: float, edits: int, sampled: int, width: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, recall: float, seed: int = 9) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """A function from texts to pairs (number of the text, item id)."""
+def piece(width: int, edits: int) -> int:
+    """Words of a run that a window keeps whole when it is at most `edits` edits from another: of edits + 1 equal pieces one at
+    least has no edit, and edits may push so many of its words out of a window of the same width."""
+    return max(1, width // (edits + 1) - edits)
+
+
+def _grams(ids: np.ndarray, size: int) -> np.ndarray:
+    """Slots of 2**20 for the runs of so many ids."""
+    n = len(ids) - size + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for k in range(size if n > 0 else 0):
+        h = (h ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(11)).astype(np.int64) & ((1 << 20) - 1)
+
+
+Finder = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
+_FINDERS: dict[str, Finder] = {}
+
+
+def _kept(key: str, make: Callable[[], Finder]) -> Finder:
+    """The finder of that key: made once in each Python worker, which keeps the last few for its next tasks."""
+    if key not in _FINDERS:
+        while len(_FINDERS) >= 2:
+            del _FINDERS[next(iter(_FINDERS))]
+        _FINDERS[key] = make()
+    return _FINDERS[key]
+
+
+def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, recall: float, seed: int = 9) -> Finder:
+    """A function from texts to triples (number of the text, item id, whether a window is held without any edit)."""
     vocabulary: dict[str, int] = {}
     sequences = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], np.uint32)) for i, text in items]
     views = [(i, np.lib.stride_tricks.sliding_window_view(s, width)) for i, s in sequences if len(s) >= width]
     tables = tables_for(recall, edits, sampled, width)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     if not views:
-        return lambda texts: (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return lambda texts: none
     item_windows = np.concatenate([v for _, v in views])
     item_of = np.concatenate([np.full(len(v), i, np.int64) for i, v in views])
     item_keys = embed(item_windows, tables, sampled, seed)
@@ -127,7 +159,12 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
     for t in range(tables):
         taken[t, (item_keys[t] & slots).astype(np.int64)] = True
 
-    def find(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    size = piece(width, edits)
+    pieces = np.zeros(1 << 20, bool)
+    for _, sequence in sequences:
+        pieces[_grams(sequence, size)] = True
+
+    def find(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         get = vocabulary.get
         # a passage that lacks words may end with the text: each text gets so many words that no item has
         tail = [""] * edits
@@ -137,14 +174,16 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
         ends = np.cumsum(sizes)
         n = len(ids) - width + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         at = np.arange(n)
         # a word that no item has costs one edit at least
         keep = (unknown[width:] - unknown[:-width] <= edits) & (np.repeat(ends, sizes)[:n] >= at + width)
+        held = np.concatenate(([0], np.cumsum(pieces[_grams(ids, size)])))
+        keep &= held[at + width - size + 1] > held[at]
         at = at[keep]
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return none
         windows = np.lib.stride_tricks.sliding_window_view(ids, width)[at]
         keys = embed(windows, tables, sampled, seed)
         pairs = []
@@ -156,6 +195,7 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
             pairs.append(np.stack((np.repeat(some, count), sorts[t][np.repeat(lo, count) + step])))
         window, item_window = np.unique(np.concatenate(pairs, 1), axis=1) if tables > 1 else pairs[0]
         same = (windows[window] == item_windows[item_window]).all(1)
+        whole = same.copy()
         if edits:
             doc = np.searchsorted(ends, at[window], side="right")
             _, pair = np.unique(np.stack((doc, item_of[item_window])), axis=1, return_inverse=True)
@@ -167,8 +207,10 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
                 regions = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], 0)
                 same[part] = hold(regions, item_windows[item_window[part]], edits)
         doc = np.searchsorted(ends, at[window[same]], side="right")
-        both = np.unique(np.stack((doc, item_of[item_window[same]])), axis=1)
-        return both[0], both[1]
+        # of each pair the best comes first
+        found = np.unique(np.stack((doc, item_of[item_window[same]], ~whole[same])), axis=1)
+        first = np.concatenate(([True], (found[:2, 1:] != found[:2, :-1]).any(0))) if found.shape[1] else np.zeros(0, bool)
+        return found[0, first], found[1, first], found[2, first] == 0
 
     return find
 
@@ -176,11 +218,12 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
 def leaks(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 12, edits: int = 0, sampled: int = 8, recall: float = 0.99
 ) -> DataFrame:
-    """Rows (doc_id, item_id): records that hold `width` words in a row of an item, up to `edits` edited words.
+    """Rows (doc_id, item_id, whole): records that hold `width` words in a row of an item, up to `edits` edited words.
 
-    Words are maximal runs of letters and digits, compared without case. Null ids, null or empty texts and items
-    of fewer words give no row; repeated rows give one. Items are searched in blocks of bounded size, each against
-    all records.
+    whole tells whether some such words stand there without any edit; these are all found, the others with the given
+    recall. Words are maximal runs of letters and digits, compared without case. Null ids, null or empty texts and
+    items of fewer words give no row; repeated rows give one. Items are searched in blocks of bounded size, each
+    against all records.
     """
     spark = docs.sparkSession
     src = items.where(F.col(item_col).isNotNull() & (F.length(item_text) > 0)).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
@@ -191,14 +234,13 @@ def leaks(
     for b in range(blocks):
         block = [tuple(r) for r in (src if blocks == 1 else src.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)).collect()]
         sent = spark.sparkContext.broadcast(block)
-        cache: dict = {}
+        key = uuid.uuid4().hex
 
-        def run(batch: pa.RecordBatch, sent=sent, cache=cache) -> dict:
-            if "find" not in cache:  # once a task
-                cache["find"] = finder(sent.value, width, edits, sampled, recall)
-            doc, item = cache["find"](batch.column(1).to_pylist())
-            return {"doc_id": pa.array(batch.column(0).to_numpy(zero_copy_only=False)[doc], pa.int64()), "item_id": pa.array(item, pa.int64())}
+        def run(batch: pa.RecordBatch, sent=sent, key=key) -> dict:
+            find = _kept(key, lambda: finder(sent.value, width, edits, sampled, recall))
+            doc, item, whole = find(batch.column(1).to_pylist())
+            return {"doc_id": pa.array(batch.column(0).to_numpy(zero_copy_only=False)[doc], pa.int64()), "item_id": pa.array(item, pa.int64()), "whole": pa.array(whole, pa.bool_())}
 
-        part = map_arrow(rows, run, "doc_id long, item_id long")
+        part = map_arrow(rows, run, "doc_id long, item_id long, whole boolean")
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out.groupBy("doc_id", "item_id").agg(F.bool_or("whole").alias("whole"))

@@ -110,11 +110,12 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"))
+    found = leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"), width=12, edits=1, sampled=4, recall=0.9)
+    return found.where("whole").select("doc_id", "item_id")  # the exact check of the query
 
 
 def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"), width=16, edits=1, sampled=6, recall=0.95)
+    return leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "heldout_items", "item_id", "text"), width=16, edits=1, sampled=6, recall=0.95).select("doc_id", "item_id", "whole")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,8 +122,9 @@ def test_leaks(spark, data, odd_docs, none):
     assert {tuple(r) for r in queries.p9_found(spark, data).collect()} == truth
     held = spark.createDataFrame([(1, None), (2, ""), (3, "too short"), (None, "x"), (4, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "ONE two, three > four five\n> six seven eight nine ten eleven twelve!"), (2, "one two three four five six CHANGED eight nine ten eleven twelve thirteen fourteen"), (3, None)], "doc_id long, text string")
-    assert {tuple(r) for r in p9_leaks.leaks(docs, held).collect()} == {(1, 4)}
-    assert {tuple(r) for r in p9_leaks.leaks(docs, held, width=14, edits=1, sampled=4).collect()} == {(2, 4)}
+    assert {tuple(r) for r in p9_leaks.leaks(docs, held).collect()} == {(1, 4, True)}
+    assert {tuple(r) for r in p9_leaks.leaks(docs, held, width=14, edits=1, sampled=4).collect()} == {(2, 4, False)}
+    assert {tuple(r) for r in p9_leaks.leaks(docs, held, width=12, edits=1, sampled=4).collect()} == {(1, 4, True), (2, 4, False)}
     assert p9_leaks.leaks(none, held).count() == p9_leaks.leaks(odd_docs, held.limit(0)).count() == p9_leaks.leaks(odd_docs, held).count() == 0
 
 
@@ -137,7 +138,7 @@ def test_near_leaks_reach_the_recall(spark, data):
             w = w[:16]
             w[rng.randrange(3, 13)] = "changed"
             rows.append((i, "before it " + " ".join(w) + " behind"))
-    got = {tuple(r) for r in p9_leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{data}/heldout_items.parquet"), width=16, edits=1, sampled=6).collect()}
+    got = {tuple(r) for r in p9_leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{data}/heldout_items.parquet"), width=16, edits=1, sampled=6).drop("whole").collect()}
     assert sum((i, i) in got for i, _ in rows) >= 0.9 * len(rows)
 
 
@@ -242,17 +243,17 @@ def test_near_leaks_find_added_and_dropped_words(spark, data):
     rng = random.Random(5)
     items = duckdb.sql(f"SELECT item_id, text FROM '{data}/heldout_items.parquet'").fetchall()
     held = spark.read.parquet(f"{data}/heldout_items.parquet")
-    for kind in ("insert", "drop"):
-        rows = []
+    for kind in ("insert", "drop", "replace"):
+        rows: list[tuple[int, int, str]] = []
         for i, t in items:
             w = p9_leaks.words(t)
             for _ in range(4 if len(w) >= 20 else 0):
                 s, k = rng.randrange(len(w) - 15), rng.randrange(1, 15)
                 p = w[s : s + 16]
-                p[k : k + (kind == "drop")] = [] if kind == "drop" else ["changed"]
+                p[k : k + (kind != "insert")] = [] if kind == "drop" else ["changed"]
                 rows.append((len(rows), i, " ".join(p) if len(rows) % 2 else "before it " + " ".join(p) + " behind"))
         docs = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")
-        got = {tuple(r) for r in p9_leaks.leaks(docs, held, width=16, edits=1, sampled=6, recall=0.95).collect()}
+        got = {tuple(r) for r in p9_leaks.leaks(docs, held, width=16, edits=1, sampled=6, recall=0.95).drop("whole").collect()}
         assert sum((d, i) in got for d, i, _ in rows) >= 0.95 * len(rows)
 
 
