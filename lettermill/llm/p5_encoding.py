@@ -23,6 +23,13 @@ BUCKETS = 1 << 14
 SMOOTHING = 0.05
 #: Log-likelihood by which a chain must beat every clean language, and what the model of arbitrary bytes needs.
 LEAD, STRAY_LEAD = 1.5, 4.0
+#: Lines whose letters are all in use in one language mostly are clean: of these, one is garbled only if the inversion of one of
+#: its likeliest chains is so much likelier as clean text than the line is.
+TRIED, GAIN = 4, 5.0
+#: Lead by which plain letters tell a line's own language.
+OWN_LEAD = 6.0
+#: Bigrams that are scored at a time.
+CHUNK = 1024
 #: Rows of labelled text used of each language.
 SAMPLE_ROWS = 400
 
@@ -37,33 +44,35 @@ PLAIN_MARKS = set("€§°ºª«»“”„‘’–—…¿¡")
 CAPITAL = np.array([cp > 127 and chr(cp).isupper() for cp in range(0x3000)])
 BETWEEN = np.array([chr(cp) in PLAIN_MARKS - set("’‘–—…") for cp in range(0x3000)])
 ODD = re.compile("[a-z](?:[" + "".join(chr(c) for c in np.flatnonzero(CAPITAL[:0x250])) + "]|[€§°ºª«»“”„¿¡][a-z])")
+#: Controls and the mark of lost letters, which no written text holds.
+BROKEN = re.compile("[\x80-\x9f\ufffd]")
 #: Letters beyond a-z of each language's spelling. Fixed values.
 SPELLING = {"hu": "áéíóöőúüű", "en": "", "de": "äöüß", "fr": "àâæçéèêëîïôœùûüÿ", "es": "áéíñóúü", "ro": "ăâîșțşţ"}
-LINES = [f"x {m} y 1{m} {m}x x{m} {m} ({m})" for m in MARKS.split()] + ["we’ll can’t hasn’t we’d don’t I’m", "kb. 120 € körül, 45 €; 12 €.", "n.º 12 1.ª vez"]
+LINES = [f"x {m} y 1{m} {m}x x{m} {m} ({m})" for m in MARKS.split()] + ["we’ll can’t hasn’t we’d don’t I’m", " ".join(f"{c}’{v}" for c in "cdjlmnstu" for v in "aeiouyh"), "120 €, 45 €; 12 €.", "n.º 12 1.ª"]
 
 
-def _sloppy(name: str) -> tuple[dict[int, int], list[str]]:
-    """A single-byte charset as a map of code points to bytes and a list of its characters; undefined bytes stand for themselves."""
+def _sloppy(name: str) -> str:
+    """The characters of a single-byte charset in order; undefined bytes stand for themselves."""
     chars = []
     for b in range(256):
         try:
             chars.append(bytes([b]).decode(name))
         except UnicodeDecodeError:
             chars.append(chr(b))
-    return {ord(c): b for b, c in reversed(list(enumerate(chars)))}, chars
+    return "".join(chars)
 
 
-_TABLES = {name: _sloppy(name) for name in {*READ_AS, *TWICE, *WRITTEN_IN}}
+_CHARS = {name: _sloppy(name) for name in {*READ_AS, *TWICE, *WRITTEN_IN}}
+_BYTES = {name: codecs.charmap_build(chars) for name, chars in _CHARS.items()}
 
 
-def encode(text: str, charset: str) -> bytes | None:
-    """None if the charset lacks a character."""
+def encode(text: str, charset: str, errors: str = "strict") -> bytes | None:
+    """None if the charset lacks a character; errors as for codecs."""
     if charset == "utf-8":
         return text.encode("utf-8", "surrogatepass")
-    table = _TABLES[charset][0]
     try:
-        return bytes([table[ord(c)] for c in text])
-    except KeyError:
+        return codecs.charmap_encode(text, errors, _BYTES[charset])[0]
+    except UnicodeEncodeError:
         return None
 
 
@@ -73,8 +82,7 @@ def decode(data: bytes, charset: str) -> str | None:
             return data.decode()
         except UnicodeDecodeError:
             return None
-    chars = _TABLES[charset][1]
-    return "".join([chars[b] for b in data])
+    return codecs.charmap_decode(data, "strict", _CHARS[charset])[0]
 
 
 @dataclass(frozen=True)
@@ -91,12 +99,9 @@ class Chain:
     def garble(self, text: str) -> str | None:
         for written, read in self.steps:
             if self.lossy:
-                text = (bytes([_TABLES[written][0].get(ord(c), 63) for c in text])).decode("utf-8", "replace")
+                text = encode(text, written, "replace").decode("utf-8", "replace")
                 continue
-            data = encode(text, written)
-            if data is None:  # what the charset lacks is left out
-                data = b"".join(encode(c, written) or b"" for c in text)
-            text = decode(data, read)
+            text = decode(encode(text, written, "ignore"), read)  # what the charset lacks is left out
         return text
 
     def restore(self, text: str) -> str | None:
@@ -126,33 +131,41 @@ def bigrams(text: str) -> np.ndarray:
     return (pair * np.uint32(40503) >> np.uint32(2)) & np.uint32(BUCKETS - 1)
 
 
+def _plain(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and numbers of the pairs of plain letters or blanks among code points."""
+    low = cp | 32
+    letter = np.where((low >= 97) & (low <= 122), low - 96, np.where(cp == 32, 0, 31)).astype(np.int64)
+    at = np.flatnonzero((letter[:-1] < 31) & (letter[1:] < 31))
+    return at, letter[at] * 32 + letter[at + 1]
+
+
 class Model:
     """Multinomial naive Bayes over (chain, language), clean text of each language and of all, and arbitrary bytes."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.chains = chains()
         langs = sorted(samples)
+        self.langs = len(langs)
         # every letter of a language's spelling beside every other letter, for words that the samples lack
         spelt = {lang: ["".join(f"{x}{c}" for x in "abcdefghijklmnopqrstuvwxyz ") + c for c in SPELLING.get(lang, "")] for lang in langs}
+        spelt = {lang: [*lines, *("".join(f" {c}{x}" for x in "abcdefghijklmnopqrstuvwxyz.") for c in SPELLING.get(lang, "").upper())] for lang, lines in spelt.items()}
         clean = {lang: [*samples[lang], *(t.upper() for t in samples[lang]), *spelt[lang], *LINES] for lang in langs}
-        rows, self.kind = [], []
-        for lang in langs:
-            rows.append(self._counts(clean[lang]))
-            self.kind.append(-1)
+        rows = [self._counts(clean[lang]) for lang in langs]
         rows.append(sum(rows, np.zeros(BUCKETS, np.int64)))
-        self.kind.append(-1)
+        kind, spoken = [-1] * len(rows), [*range(len(langs)), -1]
         for i, chain in enumerate(self.chains):
-            for lang in langs:
+            for at, lang in enumerate(langs):
                 # the same lines as for the clean language, changed or not, so that only what a chain changes tells them apart
                 garbled = [chain.garble(t) for t in clean[lang]]
                 if garbled != clean[lang]:
                     counts = self._counts(garbled)
                     rows.append(counts)
-                    self.kind.append(i)
-        self.counts = np.array(rows, np.uint16)
+                    kind.append(i)
+                    spoken.append(at)
+        self.counts, self.kind, self.spoken = np.array(rows, np.uint32), np.array(kind), np.array(spoken)
         self._weigh()
-        self.kind = np.array(self.kind)
-        self.clean = self.kind < 0
+        plain = np.array([np.bincount(_plain(np.frombuffer("\n".join(samples[lang]).encode("utf-32-le", "surrogatepass"), np.uint32))[1], minlength=1 << 10) for lang in langs] or [np.zeros(1 << 10)], np.float32)
+        self.plain = np.log((plain + 0.5) / (plain.sum(1, keepdims=True) + 512)).T.astype(np.float32)
         self.stray = -np.log(BUCKETS)
         # languages in whose clean text a letter occurs, as bits
         self.known = np.zeros(0x3000, np.uint8)
@@ -162,19 +175,23 @@ class Model:
                     self.known[ord(c)] |= 1 << bit
 
     def _weigh(self) -> None:
+        """Logarithms by bucket: of clean text in each language and in all, and, language by language, of garbled text."""
         counts = self.counts.astype(np.float32)
-        self.weights = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS)).T.copy()
+        logs = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BUCKETS))
+        self.clean = logs[self.kind < 0].T.copy()
+        which = [np.flatnonzero((self.kind >= 0) & (self.spoken == lang)) for lang in range(self.langs)]
+        self.garbled, self.chain_of = [logs[w].T.copy() for w in which], [self.kind[w] for w in which]
 
     def __getstate__(self) -> dict:
         """Only the counts that are not zero travel; weights are made where they arrive."""
-        state = {k: v for k, v in self.__dict__.items() if k not in ("counts", "weights")}
+        state = {k: v for k, v in self.__dict__.items() if k not in ("counts", "clean", "garbled", "chain_of")}
         at = np.flatnonzero(self.counts)
         return state | {"sparse": (self.counts.shape, at.astype(np.uint32), self.counts.ravel()[at])}
 
     def __setstate__(self, state: dict) -> None:
         shape, at, values = state.pop("sparse")
         self.__dict__.update(state)
-        self.counts = np.zeros(shape, np.uint16)
+        self.counts = np.zeros(shape, np.uint32)
         self.counts.ravel()[at] = values
         self._weigh()
 
@@ -182,29 +199,63 @@ class Model:
     def _counts(texts: list[str]) -> np.ndarray:
         return np.bincount(bigrams("\n".join(texts)), minlength=BUCKETS)
 
-    def judge(self, line: str) -> tuple[bool, list[Chain]]:
-        """Whether a line is garbled, and by which chains, likeliest first."""
-        h = bigrams(line)
-        if not len(h) or self.clean.all():  # without samples nothing is judged
-            return False, []
-        score = self.weights[h].sum(0)
-        clean = score[self.clean].max()
-        order = np.argsort(-score)
-        likely = list(dict.fromkeys(int(self.kind[k]) for k in order[:40] if self.kind[k] >= 0))
-        broken = "�" in line or any("\x80" <= c <= "\x9f" for c in line)
-        best = score[~self.clean].max()
-        return bool(broken or best > clean + LEAD or self.stray * len(h) > clean + STRAY_LEAD), [self.chains[k] for k in likely]
+    def _scores(self, lines: list[str], own: np.ndarray, garbled: bool = True):
+        """Numbers of lines, their bigrams, and their scores: of clean text, and of garbled text with its chains. Some lines at a time.
+
+        A line whose language is known is scored as that language's garbled text only.
+        """
+        data = np.frombuffer("\n".join(lines).encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        pair = (data[:-1] << 8) | data[1:]
+        some = np.flatnonzero(((pair & 0x8080) != 0) & (data[:-1] != 10) & (data[1:] != 10))
+        line = np.cumsum(data == 10)[some]
+        bucket = (pair[some] * np.uint32(40503) >> np.uint32(2)) & np.uint32(BUCKETS - 1)
+        order = np.argsort(own[line], kind="stable")
+        line, bucket = line[order], bucket[order]
+        first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(line)))
+        turns = np.cumsum(size) // CHUNK + (own[line[first]] << 40)
+        for turn in np.split(np.arange(len(first)), np.flatnonzero(np.diff(turns)) + 1) if len(first) else []:
+            a, b = first[turn[0]], first[turn[-1]] + size[turn[-1]]
+            lang, total = own[line[first[turn[0]]]], lambda w, a=a, b=b, at=first[turn]: np.add.reduceat(w[bucket[a:b]], at - a, axis=0)
+            spoken = range(self.langs) if lang < 0 else [lang]
+            scores = [total(self.garbled[k]) for k in spoken] if garbled else []
+            yield line[first[turn]], size[turn], total(self.clean), np.concatenate(scores, 1) if scores else None, np.concatenate([self.chain_of[k] for k in spoken])
+
+    def judge(self, lines: list[str], explained: np.ndarray, own: np.ndarray | None = None) -> list[list[Chain] | None]:
+        """Of each line the chains that may have garbled it, likeliest first; None if it is clean. own is the language each is in, or -1."""
+        out: list[list[Chain] | None] = [None] * len(lines)
+        if not self.langs:  # without samples nothing is judged
+            return out
+        own = np.full(len(lines), -1) if own is None else own
+        broken = np.array([bool(BROKEN.search(x)) for x in lines], bool)
+        asked: list[tuple[int, Chain, str, float, float]] = []
+        for number, size, clean_scores, score, chain_of in self._scores(lines, own):
+            clean, best = clean_scores.max(1), score.max(1)
+            sure = broken[number] | (~explained[number] & ((best > clean + LEAD) | (self.stray * size > clean + STRAY_LEAD)))
+            for k in np.flatnonzero(sure | (best > clean + LEAD)):
+                n = int(number[k])
+                at = np.arange(len(chain_of)) if sure[k] else np.argpartition(-score[k], min(3 * TRIED, len(chain_of) - 1))[: 3 * TRIED]
+                likely = [self.chains[c] for c in dict.fromkeys(chain_of[at[np.argsort(-score[k][at])]].tolist())]
+                if sure[k]:
+                    out[n] = likely
+                    continue
+                mine = clean_scores[k, own[n]] if own[n] >= 0 else clean[k]
+                # what a chain leaves as it is says nothing about it
+                asked += [(n, c, r, float(clean[k]), float(mine)) for c in likely[:TRIED] if (r := c.restore(lines[n])) is not None and r != lines[n] and self.explains(r)]
+        if asked:
+            gained = np.array([a[2].isascii() for a in asked])
+            for number, _, scores, _, _ in self._scores([a[2] for a in asked], np.array([own[a[0]] for a in asked]), False):
+                for k, row in zip(number.tolist(), scores, strict=True):
+                    n, _, _, clean, mine = asked[k]
+                    after = row.max()
+                    gained[k] = after > clean + GAIN and (row[own[n]] if own[n] >= 0 else after) > mine + GAIN
+            for ok, (n, chain, _, _, _) in zip(gained, asked, strict=True):
+                if ok:
+                    out[n] = [*(out[n] or []), chain]
+        return out
 
     def is_clean(self, text: str) -> bool:
-        h = bigrams(text)
-        if not len(h):
-            return True
-        if "�" in text or any("\x80" <= c <= "\x9f" for c in text):
-            return False
-        if self.explains(text) or self.clean.all():
-            return True
-        score = self.weights[h].sum(0)
-        return bool(score[self.clean].max() >= score[~self.clean].max() - LEAD)
+        return self.judge([text.replace("\n", " ")], np.array([self.explains(text)]))[0] is None
 
     def explains(self, text: str) -> bool:
         """Whether all characters occur in the clean text of one language."""
@@ -218,14 +269,14 @@ class Model:
 
     def restore(self, line: str, likely: list[Chain]) -> tuple[str | None, str | None]:
         """The original line and the chain's name, if an inversion decodes strictly and gives clean text."""
-        for chain in likely[:8]:
+        for chain in likely:
             text = chain.restore(line)
             if text is not None and text != line and self.is_clean(text):
                 return text, chain.name
         return None, None
 
-    def suspects(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lines whose non-ASCII letters no single language explains: number of the text, start and end in it."""
+    def accented(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Lines with a character beyond ASCII: number of the text, start and end in it, whether one language explains all its letters, and its own language or -1."""
         joined = "\n".join(texts) + "\n"
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)))
@@ -233,7 +284,7 @@ class Model:
         high = np.flatnonzero(cp > 127)
         if not len(high):
             z = np.zeros(0, np.int64)
-            return z, z, z
+            return z, z, z, z.astype(bool), z
         line = np.searchsorted(ends, high)
         bits = np.where(cp[high] < 0x3000, self.known[np.minimum(cp[high], 0x2FFF)], 0)
         first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
@@ -242,11 +293,21 @@ class Model:
         inside = (before >= 97) & (before <= 122)
         low = np.minimum(cp[high], 0x2FFF)
         bits[inside & (CAPITAL[low] | (BETWEEN[low] & (after >= 97) & (after <= 122)))] = 0
-        explained = np.bitwise_and.reduceat(bits, first)
-        bad = line[first[explained == 0]]
-        begin = np.where(bad > 0, ends[bad - 1] + 1, 0)
+        explained = np.bitwise_and.reduceat(bits, first) > 0
+        line = line[first]
+        begin = np.where(line > 0, ends[line - 1] + 1, 0)
         text = np.searchsorted(starts, begin, side="right") - 1
-        return text, begin - starts[text], ends[bad] - starts[text]
+        own = np.full(len(line), -1)
+        if self.langs > 1:
+            at, kind = _plain(cp)
+            of = np.searchsorted(ends, at)
+            some = np.isin(of, line)
+            of, kind = of[some], kind[some]
+            first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+            score = np.add.reduceat(self.plain[kind], first, axis=0) if len(first) else np.zeros((0, self.langs))
+            ranked = np.sort(score, axis=1)
+            own[np.searchsorted(line, of[first])] = np.where(ranked[:, -1] - ranked[:, -2] >= OWN_LEAD, score.argmax(1), -1)
+        return text, begin - starts[text], ends[line] - starts[text], explained, own
 
 
 def sent_model(samples: DataFrame | Broadcast) -> Broadcast:
@@ -267,25 +328,30 @@ def build(samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def repair(model: Model, texts: list[str]) -> list[tuple[int, str | None, str, bool]]:
     """For each garbled text: its number, the text with every line restored that can be, the chains, and whether all lines were."""
+    number, start, end, explained, own = model.accented(texts)
+    spans = list(zip(number.tolist(), start.tolist(), end.tolist(), strict=True))
+    # greetings and the like stand in many texts; each different line is judged once
+    different = {texts[n][a:b]: k for k, (n, a, b) in enumerate(spans)}
+    at = np.fromiter(different.values(), np.int64, len(different))
+    verdict = dict(zip(different, model.judge(list(different), explained[at], own[at]), strict=True))
+    fixed: dict[str, tuple[str | None, str | None]] = {}
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for n, a, b in spans:
+        line = texts[n][a:b]
+        if verdict[line] is not None:
+            hits.setdefault(n, []).append((a, b))
+            if line not in fixed:
+                fixed[line] = model.restore(line, verdict[line])
     out: list[tuple[int, str | None, str, bool]] = []
-    number, start, end = model.suspects(texts)
-    lines: dict[int, list[tuple[int, int]]] = {}
-    for n, a, b in zip(number.tolist(), start.tolist(), end.tolist(), strict=True):
-        lines.setdefault(n, []).append((a, b))
-    for n, spans in lines.items():
-        text, parts, at, names, whole, hit = texts[n], [], 0, [], True, False
-        for a, b in spans:
-            garbled, likely = model.judge(text[a:b])
-            if not garbled:
-                continue
-            hit = True
-            fixed, name = model.restore(text[a:b], likely)
-            parts += [text[at:a], text[a:b] if fixed is None else fixed]
+    for n, places in hits.items():
+        text, parts, at, names, whole = texts[n], [], 0, [], True
+        for a, b in places:
+            line, name = fixed[text[a:b]]
+            parts += [text[at:a], text[a:b] if line is None else line]
             at = b
-            whole &= fixed is not None
+            whole &= line is not None
             names += [name] if name and name not in names else []
-        if hit:
-            out.append((n, "".join([*parts, text[at:]]), ", ".join(names), whole))
+        out.append((n, "".join([*parts, text[at:]]), ", ".join(names), whole))
     return out
 
 

@@ -245,3 +245,19 @@ def test_weak_markup_lines_win_together():
     # a lone dash or date, mail quotes and separators are none
     for text in ("We met\n- by chance -\nthere", "Born\n20. 2. 1999\nthere", "He wrote\n: one\n: two\n: three\n: four\n", "He wrote\n| one\n| two\n| three\n|\n| four\n", "Hi\n\n-- \nJo\n", "*****\n***** Text *****\n*****"):
         assert kinds(text) == [], text
+
+
+def test_letters_of_other_languages_are_judged(data):
+    import duckdb
+
+    samples: dict[str, list[str]] = {}
+    for lang, text in duckdb.sql(f"SELECT lang, text FROM '{data}/lang_samples.parquet' ORDER BY lang, sample_no").fetchall():
+        samples.setdefault(lang, []).append(text)
+    model = p5_encoding.Model(samples)
+    for text in ("A fű zöld, és fél öt van.", "Az őszi körlevél még nem érkezett meg.", "Később küldöm a szűrőt, köszönöm.", "Tudjuk, hogy erről hétfőn beszélünk."):
+        for chain in ((("iso8859-2", "latin-1"),), (("cp1250", "cp1252"),), (("iso8859-2", "iso8859-15"),)):
+            garbled = p5_encoding.Chain(chain).garble(text)
+            assert garbled != text and [r[1] for r in p5_encoding.repair(model, [garbled])] == [text], garbled
+    # names and words of other languages, capitals and marks are no misread letters
+    clean = ["Guten Tag Änne,", "Étienne Nopra", "Merci d’avance,", "Szia Ágnes!", "Dear Gergő,", "Das kostet 45 €.", "¡De acuerdo, gracias!", "Șeful de depozit", "Hello François and Zoltánné"]
+    assert [r[0] for r in p5_encoding.repair(model, clean)] == []
