@@ -43,16 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, as a full URI, that clear() will delete."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lettermill-{uuid.uuid4().hex}")
+    path = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    spark.__dict__.setdefault("_lettermill_llm_tables", []).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it back: later steps neither repeat nor depend on what made it.
 
     Unlike a local checkpoint it survives the loss of any executor.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lettermill-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    spark.__dict__.setdefault("_lettermill_llm_tables", []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:

@@ -5,6 +5,8 @@ Every operation works on arrays of positions, one entry for each of many searche
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -51,10 +53,13 @@ class Bits:
 
 
 class FMIndex:
-    """Backward search over a sequence of symbols 1..sigma-1; 0 separates texts and matches nothing."""
+    """Backward search over a sequence of symbols 1..sigma-1; 0 separates texts and matches nothing.
+
+    depth is the number of symbols by which suffixes are in order; no search may be longer.
+    """
 
     def __init__(self, symbols: np.ndarray, sigma: int, depth: int):
-        self.n = len(symbols)
+        self.n, self.depth = len(symbols), depth
         self.sa = suffix_array(symbols, depth)
         bwt = symbols[self.sa - 1]
         counts = np.bincount(symbols, minlength=sigma)
@@ -86,3 +91,91 @@ class FMIndex:
         """Intervals of the suffixes that start with the symbol and go on as those of [lo, hi)."""
         both = self.occurrences(np.concatenate((symbol, symbol)), np.concatenate((lo, hi))) + np.tile(self.first[symbol], 2)
         return both[: len(lo)], both[len(lo) :]
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All that searches need, as plain arrays."""
+        return {
+            "sizes": np.array([self.n, self.depth, self.width], np.int64),
+            "first": self.first,
+            "zeros": np.array(self.zeros, np.int64),
+            "start": self.start,
+            "words": np.stack([b.words for b in self.levels]),
+            "before": np.stack([b.before for b in self.levels]),
+        }
+
+    @classmethod
+    def of(cls, arrays) -> FMIndex:
+        """An index from such arrays."""
+        index = cls.__new__(cls)
+        index.n, index.depth, index.width = (int(x) for x in arrays["sizes"])
+        index.first, index.zeros, index.start, index.sa = arrays["first"], arrays["zeros"].tolist(), arrays["start"], None
+        index.levels = []
+        for words, before in zip(arrays["words"], arrays["before"], strict=True):
+            bits = Bits.__new__(Bits)
+            bits.words, bits.before = words, before
+            index.levels.append(bits)
+        return index
+
+
+def backward(index: FMIndex, query: np.ndarray, end: np.ndarray, floor: np.ndarray, accept: Callable | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, lo, hi) of the longest match of the index that ends before each place and starts at floor at the earliest.
+
+    accept(searches, lo, hi) says which intervals count as matches; what it refuses it must refuse for every longer match.
+    """
+    lo, hi, at = np.zeros(len(end), np.int64), np.full(len(end), index.n, np.int64), end.copy()
+    live = np.flatnonzero(at > floor)
+    while len(live):
+        c = query[at[live] - 1]
+        a, b = index.step(c, lo[live], hi[live])
+        good = (c > 0) & (a < b)
+        if accept is not None:
+            some = np.flatnonzero(good)
+            good[some] = accept(live[some], a[some], b[some])
+        live, a, b = live[good], a[good], b[good]
+        lo[live], hi[live] = a, b
+        at[live] -= 1
+        live = live[at[live] > floor[live]]
+    return at, lo, hi
+
+
+def maximal_matches(index: FMIndex, query: np.ndarray, starts: np.ndarray, least: int, accept: Callable | None = None) -> tuple[np.ndarray, ...]:
+    """Rows (lane, start, end, lo, hi): the matches of at least `least` symbols of each text of a query that can be longer on neither side.
+
+    texts are query[starts[k]:starts[k + 1]]. Matching statistics are taken from right ends: if the longest match that
+    ends in e starts in s and is too short, no long enough one ends before s + least. Of a long enough one the right end
+    is sought by doubling steps and then by halving; the next match ends behind it. accept(lanes, lo, hi) as in backward().
+    """
+    lanes = np.flatnonzero(np.diff(starts) >= least)
+    bottom, top = starts[:-1], starts[1:]
+    end = bottom + least
+    begin = np.full(len(bottom), -1)  # start of the match whose right end is being sought; -1: none
+    low, high, step = (np.zeros(len(bottom), np.int64) for _ in range(3))
+    best_lo, best_hi = np.zeros(len(bottom), np.int64), np.zeros(len(bottom), np.int64)
+    out: list[tuple[np.ndarray, ...]] = []
+    while len(lanes):
+        sought = begin[lanes] >= 0
+        floor = np.where(sought, begin[lanes], bottom[lanes])
+        wrap = None if accept is None else (lambda k, a, b, lanes=lanes: accept(lanes[k], a, b))
+        at, lo, hi = backward(index, query, end[lanes], floor, wrap)
+        hit = np.where(sought, at == floor, end[lanes] - at >= least)
+        mine, e = lanes[hit], end[lanes[hit]]
+        best_lo[mine], best_hi[mine], low[mine] = lo[hit], hi[hit], e
+        fresh = mine[~sought[hit]]
+        begin[fresh], high[fresh], step[fresh] = at[hit][~sought[hit]], top[fresh] + 1, 1
+        # a miss behind a match bounds its right end; any other one leads on to the next end that can be long enough
+        bound = lanes[~hit & sought]
+        high[bound] = end[bound]
+        lost = ~hit & ~sought
+        end[lanes[lost]] = at[lost] + least
+        active = lanes[hit | sought]
+        whole = active[high[active] - low[active] == 1]
+        out.append((whole, begin[whole], low[whole], best_lo[whole], best_hi[whole]))
+        begin[whole], end[whole] = -1, low[whole] + 1
+        more = active[high[active] - low[active] > 1]
+        wide = high[more] > top[more]
+        end[more] = np.where(wide, np.minimum(low[more] + step[more], top[more]), (low[more] + high[more]) // 2)
+        step[more] *= 2
+        lanes = lanes[end[lanes] <= top[lanes]]
+    found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+    order = np.lexsort((found[1], found[0]))
+    return tuple(x[order] for x in found)

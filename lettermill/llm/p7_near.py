@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
-from .tokensets import distinct_sorted, records, token_hashes, trigrams
+from .tokensets import classes, distinct_sorted, records, token_hashes, trigrams
 
 #: Hashes of each collection, and minhashes of each hash. A pair of similarity s meets with probability
 #: (1 - (1 - s**ROWS)**SIDE)**2: 0.965 at 0.5, 0.995 at 0.6, 0.9998 at 0.7.
@@ -28,14 +28,6 @@ BLOCK = 2000
 BITMAP = 256
 
 
-def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Exact copies of rows (id, tokens, key): members (id, rep) and one record (rep, tokens) of each class."""
-    members = rows.select("id", "key").distinct()
-    firsts = members.groupBy("key").agg(F.min("id").alias("rep"))
-    # ids of a class, joined by its key: copies meet in one key, but each is a row of two numbers only
-    return cut(members.join(firsts, "key").select("id", "rep").distinct()), rows.groupBy("key").agg(F.min("id").alias("rep"), F.first("tokens").alias("tokens")).select("rep", "tokens")
-
-
 def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(1, 1 << 62, n, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 62, n, np.int64).astype(np.uint64)

@@ -8,16 +8,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
 def records(corpus: DataFrame, least: int, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """Rows (id, tokens, key) of the records with at least `least` tokens, three at any rate; null tokens in a list are dropped first, repeated rows are one."""
+    """Rows (id, tokens, k1, k2) of the records with at least `least` tokens, three at any rate; null tokens in a list are dropped first.
+
+    k1 and k2 are the two halves of a 128-bit hash of the tokens, so that copies are found without comparing or sorting texts.
+    """
     tokens = F.filter(F.col(tokens_col), lambda t: t.isNotNull())
     kept = corpus.where(F.col(id_col).isNotNull()).withColumn("_t", tokens).where(F.size("_t") >= max(least, 3))
-    # unit separators keep apart what joining would merge
-    key = F.sha2(F.array_join("_t", "\x1f"), 256)
-    return kept.select(F.col(id_col).cast("long").alias("id"), F.col("_t").alias("tokens"), key.alias("key"), *[c for c in ("split", "source") if c in corpus.columns])
+    return kept.select(F.col(id_col).cast("long").alias("id"), F.col("_t").alias("tokens"), F.xxhash64("_t").alias("k1"), F.xxhash64(F.lit(1), "_t").alias("k2"), *[c for c in ("split", "source") if c in corpus.columns])
+
+
+def classes(rows: DataFrame, *also: str) -> tuple[DataFrame, DataFrame]:
+    """Exact copies of records: members (id, rep and the named columns), and one record (rep, tokens) of each class.
+
+    Only hashes and ids are grouped; the tokens of the chosen rows are fetched at the end. Repeated rows are one member.
+    """
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    each = rows.groupBy("k1", "k2", "id", *also).agg(F.min("row").alias("row"))
+    firsts = each.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    named = cut(each.join(firsts, ["k1", "k2"]).select("id", "rep", "row", *also))
+    chosen = named.where("id = rep").groupBy("rep").agg(F.min("row").alias("row"))
+    return named.select("id", "rep", *also).distinct(), rows.join(chosen, "row").select("rep", "tokens")
 
 
 def token_hashes(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,3 +65,22 @@ def distinct_sorted(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     v, o = values[order], owner[order]
     keep = np.concatenate(([True], (v[1:] != v[:-1]) | (o[1:] != o[:-1]))) if len(v) else np.zeros(0, bool)
     return v[keep], np.concatenate(([0], np.cumsum(np.bincount(o[keep], minlength=len(starts) - 1))))
+
+
+def shared_counts(grams: np.ndarray, starts: np.ndarray, left: np.ndarray, others: np.ndarray, other_starts: np.ndarray, right: np.ndarray, at_a_time: int = 1 << 21) -> np.ndarray:
+    """How many values the list left[k] of one side and the list right[k] of the other have in common; each list's values are distinct and in order."""
+    out = np.zeros(len(left), np.int64)
+    x, y = np.diff(starts)[left], np.diff(other_starts)[right]
+    turns = np.cumsum(x + y) // at_a_time
+    for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(turns)) + 1) if len(left) else []:
+        keys, owner = [], []
+        for values, at, size in ((grams, starts[left[part]], x[part]), (others, other_starts[right[part]], y[part])):
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            keys.append(values[np.repeat(at, size) + step])
+            owner.append(np.repeat(np.arange(len(part)), size))
+        value, of = np.concatenate(keys), np.concatenate(owner)
+        order = np.lexsort((value, of))
+        value, of = value[order], of[order]
+        same = (value[1:] == value[:-1]) & (of[1:] == of[:-1])
+        out[part] = np.bincount(of[1:][same], minlength=len(part))
+    return out

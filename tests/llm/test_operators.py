@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.llm import p1_language, p2_splits, p3_personal, p4_quotes, p5_encoding, p6_markup, p7_near, p8_packing, p9_leaks, p10_spans, queries
+from lettermill.llm import p1_language, p2_splits, p3_personal, p4_quotes, p5_encoding, p6_markup, p7_near, p8_packing, p9_leaks, p10_spans, queries, tokensets
 
 DOCS = "doc_id long, text string, lang string, source string, n_tok int, ctype string, doc int, fp int, rep int, kind int, size int, key int"
 CORPUS = "id long, tokens array<string>, label int, split string, src_file string, source string, rep int, key int, keys int, n int, a int"
@@ -55,7 +55,7 @@ def test_pairs_against_all_pairs(spark, data):
 def test_small_shards_and_buckets_change_nothing(spark, data):
     corpus = spark.read.parquet(f"{data}/mail_corpus.parquet")
     assert {tuple(r) for r in p2_splits.overlaps(corpus, shard_tokens=300).collect()} == {tuple(r) for r in queries.p2_found(spark, data).collect()}
-    _, reps = p7_near.classes(p7_near._train(corpus, 20))
+    _, reps = tokensets.classes(p7_near._train(corpus, 20))
     whole = {(r.a, r.b) for r in p7_near.similar_classes(reps, 0.5).collect()}
     split = {(r.a, r.b) for r in p7_near.similar_classes(reps, 0.5, bucket=2).collect()}
     assert split == whole

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lettermill.llm import mincut, p1_language, p3_personal, p4_quotes, p5_encoding, p6_markup, p8_packing, p9_leaks, p10_spans
-from lettermill.llm.fmindex import Bits, FMIndex, suffix_array
+from lettermill.llm.fmindex import Bits, FMIndex, maximal_matches, suffix_array
 from lettermill.llm.rolling import Hasher, winnow
 
 
@@ -226,7 +226,7 @@ def test_matches_in_small_turns(monkeypatch):
     held = [rng.integers(0, 6, 30) for _ in range(6)]
     asked = [np.concatenate((h[:12], [9], h[13:])) for h in held] + [rng.integers(20, 30, 30)]
     flat = lambda xs: (np.concatenate(xs).astype(np.uint64), np.cumsum([0, *map(len, xs)]))
-    shard = p2_splits.Shard(np.arange(100, 106), *flat(held))
+    shard = p2_splits.Shard.of(p2_splits.Shard(np.arange(100, 106), *flat(held)).packed())
     whole = [x.tolist() for x in shard.alike(np.arange(7), *flat(asked), 0.5)]
     assert list(zip(*whole[:2], strict=True)) == [(k, 100 + k) for k in range(6)]
     monkeypatch.setattr(p2_splits, "OCCURRENCES", 2)
@@ -234,6 +234,22 @@ def test_matches_in_small_turns(monkeypatch):
     assert all(len(x) == 0 for x in shard.alike(np.arange(1), *flat(asked[6:]), 0.5))
 
 
+@pytest.mark.parametrize(("symbols", "size"), [(2, 40), (3, 200), (4, 300), (40, 25)])
+def test_all_alike_records_are_found(symbols, size):
+    from lettermill.llm import p2_splits
+    from lettermill.llm.tokensets import distinct_sorted, trigrams
+
+    rng = np.random.default_rng(symbols)
+    held = [rng.integers(0, symbols, rng.integers(20, size + 1)) for _ in range(30)]
+    asked = [np.concatenate((h[: k % 20], rng.integers(0, symbols + 1, k % 4), h[k % 20 :])) for k, h in enumerate(held)] + [np.tile(held[0][:6], 20)]
+    flat = lambda xs: (np.concatenate(xs).astype(np.uint64), np.cumsum([0, *map(len, xs)]))
+    grams = lambda xs: [set(v[a:b].tolist()) for v, at in [distinct_sorted(*trigrams(*flat(xs)))] for a, b in zip(at[:-1], at[1:], strict=True)]
+    x, y = grams(asked), grams(held)
+    want = {(i, j) for i, p in enumerate(x) for j, q in enumerate(y) if len(p & q) >= 0.7 * len(p | q)}
+    a, b, _ = p2_splits.Shard(np.arange(30), *flat(held)).alike(np.arange(31), *flat(asked), 0.7)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and want
+
+
 def test_weak_markup_lines_win_together():
     kinds = p6_markup.kinds
     assert kinds("Shopping:\n" + "".join(f"- item {k}\n" for k in range(30)) + "Bye") == ["markdown"]
@@ -261,3 +277,21 @@ def test_letters_of_other_languages_are_judged(data):
     # names and words of other languages, capitals and marks are no misread letters
     clean = ["Guten Tag Änne,", "Étienne Nopra", "Merci d’avance,", "Szia Ágnes!", "Dear Gergő,", "Das kostet 45 €.", "¡De acuerdo, gracias!", "Șeful de depozit", "Hello François and Zoltánné"]
     assert [r[0] for r in p5_encoding.repair(model, clean)] == []
+
+
+@given(st.text("abc", min_size=1, max_size=60), st.lists(st.text("abcd", max_size=25), min_size=1, max_size=4), st.integers(1, 5))
+@settings(max_examples=120, deadline=None)
+def test_maximal_matches(text, texts, least):
+    code = {c: i + 1 for i, c in enumerate("abcd")}
+    index = FMIndex.of(FMIndex(np.array([code[c] for c in text] + [0]), 5, 100).arrays())
+    starts = np.cumsum([0, *map(len, texts)])
+    rows = maximal_matches(index, np.array([code[c] for t in texts for c in t], np.int64), starts, least)
+    got = [(k, s - starts[k], e - starts[k], hi - lo) for k, s, e, lo, hi in zip(*rows, strict=True)]
+    want = []
+    for k, t in enumerate(texts):
+        for s in range(len(t)):
+            for e in range(s + least, len(t) + 1):
+                longer = (s > 0 and t[s - 1 : e] in text) or (e < len(t) and t[s : e + 1] in text)
+                if t[s:e] in text and not longer:
+                    want.append((k, s, e, sum(text.startswith(t[s:e], i) for i in range(len(text)))))
+    assert got == want
