@@ -67,20 +67,40 @@ def distinct_sorted(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
     return v[keep], np.concatenate(([0], np.cumsum(np.bincount(o[keep], minlength=len(starts) - 1))))
 
 
-def shared_counts(grams: np.ndarray, starts: np.ndarray, left: np.ndarray, others: np.ndarray, other_starts: np.ndarray, right: np.ndarray, at_a_time: int = 1 << 21) -> np.ndarray:
-    """How many values the list left[k] of one side and the list right[k] of the other have in common; each list's values are distinct and in order."""
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting (which is many times faster than hashing for 64-bit integers)."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+#: Bits of the bitmaps of trigram sets.
+BITMAP = 256
+
+
+def bitmaps(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A bitmap (lists x words) of each list: each value sets one bit, so where two sets differ in few values, few bits differ."""
+    n = len(starts) - 1
+    bits = np.zeros(n * BITMAP, bool)
+    bits[np.repeat(np.arange(n), np.diff(starts)) * BITMAP + (grams >> np.uint64(40)).astype(np.int64) % BITMAP] = True
+    return np.packbits(bits).view(np.uint64).reshape(n, BITMAP // 64)
+
+
+def may_be_alike(size: np.ndarray, other_size: np.ndarray, bits: np.ndarray, other_bits: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets, by their sizes and bitmaps, can reach the similarity: such sets differ in (1 - t) / (1 + t) of their members' number at most, and their bitmaps in no more bits."""
+    differ = np.bitwise_count(bits ^ other_bits).sum(1, dtype=np.int64)
+    return differ <= (size + other_size) * ((1 - threshold) / (1 + threshold)) + 1e-9
+
+
+def shared_counts(ids: np.ndarray, starts: np.ndarray, left: np.ndarray, others: np.ndarray, other_starts: np.ndarray, right: np.ndarray, at_a_time: int = 1 << 21) -> np.ndarray:
+    """How many values the list left[k] of one side and the list right[k] of the other have in common; the values of a list are different numbers from 0 to 2**31."""
     out = np.zeros(len(left), np.int64)
     x, y = np.diff(starts)[left], np.diff(other_starts)[right]
     turns = np.cumsum(x + y) // at_a_time
     for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(turns)) + 1) if len(left) else []:
-        keys, owner = [], []
-        for values, at, size in ((grams, starts[left[part]], x[part]), (others, other_starts[right[part]], y[part])):
+        keys = []
+        for values, at, size in ((ids, starts[left[part]], x[part]), (others, other_starts[right[part]], y[part])):
             step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            keys.append(values[np.repeat(at, size) + step])
-            owner.append(np.repeat(np.arange(len(part)), size))
-        value, of = np.concatenate(keys), np.concatenate(owner)
-        order = np.lexsort((value, of))
-        value, of = value[order], of[order]
-        same = (value[1:] == value[:-1]) & (of[1:] == of[:-1])
-        out[part] = np.bincount(of[1:][same], minlength=len(part))
+            keys.append((np.repeat(np.arange(len(part)), size) << 31) | values[np.repeat(at, size) + step])
+        key = np.sort(np.concatenate(keys))
+        out[part] = np.bincount(key[1:][key[1:] == key[:-1]] >> 31, minlength=len(part))
     return out
