@@ -3,6 +3,10 @@
 Two collections of m small hashes, each of r minhashes, are combined: table (i, j) is keyed by hash i of the
 first and hash j of the second, so that m * m tables cost 2 * m * r minhashes. Records that meet in a table are
 candidates; their exact similarity decides.
+
+The tables are never written out: a record is sent once for each hash of the first collection, with all its hashes of
+the second, and the task that holds a bucket combines the two. Only the members of large buckets are sent by the
+combined key, and buckets that are large even then are compared block by block.
 """
 
 from __future__ import annotations
@@ -14,18 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
-from .tokensets import classes, distinct_sorted, records, token_hashes, trigrams
+from .common import cut, hinted, map_arrow
+from .tokensets import bitmaps, classes, distinct, distinct_sorted, may_be_alike, records, token_hashes, trigrams
 
 #: Hashes of each collection, and minhashes of each hash. A pair of similarity s meets with probability
 #: (1 - (1 - s**ROWS)**SIDE)**2: 0.965 at 0.5, 0.995 at 0.6, 0.9998 at 0.7.
 SIDE, ROWS = 14, 2
-#: Members of a bucket of which all pairs are candidates; of larger ones only the pairs that bitmaps leave are.
-BUCKET = 64
-#: Members of one block of a larger bucket; blocks are compared two by two, each pair of blocks in a task of its own.
+#: Members of a bucket that one task combines; those of larger ones are sent by the combined key.
+BUCKET = 4000
+#: Members of one block of a bucket that is large even so; blocks are compared two by two, each pair of blocks in a task of its own.
 BLOCK = 2000
-#: Bits of the bitmaps that rule out candidates before their trigrams are fetched.
-BITMAP = 256
+#: Members, and pairs, that a task works on at a time.
+MEMBERS, PAIRS = 20_000, 1 << 20
 
 
 def _constants(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,65 +57,99 @@ def signatures(grams: np.ndarray, starts: np.ndarray, side: int, rows: int, coll
 
 
 def _sketches(reps: DataFrame, side: int, rows: int) -> DataFrame:
-    """Rows (rep, n, bits, grams, small, keys): the distinct hashed trigrams, their number, a bitmap of them, the small hashes, and the keys of all tables."""
+    """Rows (rep, first, rest) of records (rep, tokens): the small hashes of the first collection, and, packed, what candidates are told by (see _unpacked)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         hashes, starts = token_hashes(batch.column(1))
         grams, at = distinct_sorted(*trigrams(hashes, starts))
         sig = signatures(grams, at, side, rows)
-        sig = sig >> np.uint64(32)
-        table = np.arange(side * side, dtype=np.uint64).reshape(side, side, 1)
-        keys = table_keys(sig[0][:, None, :], sig[1][None, :, :], table).reshape(side * side, -1).T
-        lists = lambda flat, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
-        # a bitmap sets one bit for each trigram: where two differ, at least as many trigrams differ
-        bits = np.zeros(len(batch) * BITMAP, bool)
-        bits[np.repeat(np.arange(len(batch)), np.diff(at)) * BITMAP + (grams >> np.uint64(40)).astype(np.int64) % BITMAP] = True
-        words = np.packbits(bits).view(np.int64)
-        small = np.ascontiguousarray(sig.astype(np.uint32).reshape(2 * side, -1).T)
-        return {"rep": batch.column(0), "small": pa.array([r.tobytes() for r in small], pa.binary()), "n": pa.array(np.diff(at).astype(np.int32)), "bits": lists(words, np.arange(len(batch) + 1) * (BITMAP // 64)), "grams": lists(grams, at), "keys": lists(np.ascontiguousarray(keys).ravel(), np.arange(len(batch) + 1) * side * side)}
+        n = len(batch)
+        first = np.ascontiguousarray((sig[0] >> np.uint64(32)).T.astype(np.uint32)).view(np.int32).ravel()
+        # 16 bits of the second hashes do, as the first ones are compared whole
+        parts = (np.diff(at).astype(np.uint32)[:, None], np.ascontiguousarray((sig[1] >> np.uint64(48)).T.astype(np.uint16)), bitmaps(grams, at))
+        rest = np.concatenate([x.view(np.uint8).reshape(n, -1) for x in parts], 1)
+        return {"rep": batch.column(0), "first": pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * side).astype(np.int32)), pa.array(first)), "rest": pa.array([r.tobytes() for r in rest], pa.binary())}
 
-    return map_arrow(reps, run, "rep long, small binary, n int, bits array<long>, grams array<long>, keys array<long>")
+    return map_arrow(reps.select("rep", "tokens"), run, "rep long, first array<int>, rest binary")
 
 
-def _meet(rows: DataFrame, bucket: int) -> DataFrame:
-    """Rows (a, b) of the distinct candidates among rows (key, rep); buckets beyond `bucket` members come as rows (key, -1 - rep)."""
+def _unpacked(column: pa.ChunkedArray | pa.Array, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each record the number of its trigrams, the small hashes of the second collection, and the bitmap."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    cut_at = lambda a, b, kind: np.ascontiguousarray(data[:, a:b]).view(kind)
+    return cut_at(0, 4, np.uint32).astype(np.int64).ravel(), cut_at(4, 4 + 2 * side, np.uint16), cut_at(4 + 2 * side, data.shape[1], np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_r = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def pairs(k: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            size = np.diff(np.append(first, len(k)))
-            a, b = [], []
-            for n in np.unique(size[size > 1]):
-                at = first[size == n]
-                if n > bucket:
-                    for s in at:
-                        a.append(k[s : s + n])
-                        b.append(-1 - r[s : s + n])
-                    continue
-                i, j = np.triu_indices(n, 1)
-                a.append(r[(at[:, None] + i).ravel()])
-                b.append(r[(at[:, None] + j).ravel()])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            both = np.unique(np.stack((a, b), 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
+def _triangles(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within runs, some runs at a time."""
+    for n in distinct(size):
+        at = first[size == n]
+        i, j = np.triu_indices(n, 1)
+        turn = max(1, PAIRS // len(i))
+        for k in range(0, len(at), turn):
+            yield (at[k : k + turn, None] + i).ravel(), (at[k : k + turn, None] + j).ravel()
+
+
+def _meeting(key: np.ndarray, rep: np.ndarray, rest: pa.Array, side: int, threshold: float, combined: bool) -> pa.RecordBatch:
+    """Distinct candidates (a, b) among members of whole buckets, in order of their keys, that meet in a table and are not ruled out.
+
+    A key is that of a bucket of the first collection, or, if combined, that of a table.
+    """
+    total, second, bits = _unpacked(rest, side)
+    if combined:
+        sub, member = key, np.arange(len(key))
+    else:
+        table = table_keys(key.view(np.uint64)[:, None], second.astype(np.uint64), np.arange(side, dtype=np.uint64)[None, :]).view(np.int64)
+        order = np.argsort(table.ravel())
+        sub, member = table.ravel()[order], order // side
+    first = np.flatnonzero(np.concatenate(([True], sub[1:] != sub[:-1]))) if len(sub) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(sub)))
+    found, held = [np.zeros(0, np.int64)], 0
+    for i, j in _triangles(first[size > 1], size[size > 1]):
+        x, y = member[i], member[j]
+        near = may_be_alike(total[x], total[y], bits[x], bits[y], threshold)
+        x, y = x[near], y[near]
+        found.append(np.minimum(x, y) * np.int64(len(key)) + np.maximum(x, y))
+        held += len(x)
+        if held > 8 * PAIRS:  # a pair that meets in several tables is kept once
+            found, held = [distinct(np.concatenate(found))], 0
+    pair = distinct(np.concatenate(found))
+    x, y = rep[pair // max(1, len(key))], rep[pair % max(1, len(key))]
+    both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0) if len(pair) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+
+def _meet(rows: DataFrame, side: int, threshold: float, combined: bool) -> DataFrame:
+    """Candidates (a, b) of the buckets of rows (key, rep, rest), none of which is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held_k = np.concatenate((held_k, batch.column(0).to_numpy()))
-            held_r = np.concatenate((held_r, batch.column(1).to_numpy()))
-            last = np.searchsorted(held_k, held_k[-1]) if len(held_k) else 0
-            if last >= 200_000:
-                yield pairs(held_k[:last], held_r[:last])
-                held_k, held_r = held_k[last:], held_r[last:]
-        if len(held_k):
-            yield pairs(held_k, held_r)
+            held.append(batch)
+            if sum(b.num_rows for b in held) < MEMBERS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))  # the last bucket may go on in the next batch
+            if last:
+                yield _meeting(key[:last], table.column(1).to_numpy()[:last], table.column(2).slice(0, last), side, threshold, combined)
+                held = table.slice(last).to_batches()
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield _meeting(table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2), side, threshold, combined)
+
+    return rows.select("key", "rep", "rest").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
 
-    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long")
+def _by_size(rows: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of the buckets of at most so many members, and those of the larger ones; sizes are counted before anything is sent."""
+    large = hinted(cut(rows.groupBy("key").count().where(F.col("count") > bucket).select("key")), 16)
+    return rows.join(large, "key", "left_anti"), rows.join(large, "key", "left_semi")
 
 
 def _crowded(rows: DataFrame, sketches: DataFrame, side: int, threshold: float) -> DataFrame:
-    """Candidates (a, b) of the large buckets (key, rep): pairs that meet in no earlier table and whose bitmaps differ little enough.
+    """Candidates (a, b) of the large tables' buckets (key, rep): pairs that meet in no earlier table and are not ruled out.
 
     A pair that meets in many large buckets comes out of the first alone, and nothing is left out: an earlier table
     with a small bucket has given the pair already.
@@ -119,44 +157,41 @@ def _crowded(rows: DataFrame, sketches: DataFrame, side: int, threshold: float)
     sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = rows.join(sizes, "key").select("key", "rep", mine.alias("mine"), other.alias("other"))
+    spread = rows.select("key", "rep").join(sizes, "key").select("key", "rep", mine.alias("mine"), other.alias("other"))
     placed = spread.select("key", "rep", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
-    full = placed.join(sketches.select("rep", "small", "n", "bits"), "rep")
+    full = placed.join(sketches, "rep")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, block, size = (table.column(c).to_numpy() for c in ("rep", "mine", "n"))
+        rep, block = table.column("rep").to_numpy(), table.column("mine").to_numpy()
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        small = np.frombuffer(b"".join(table.column("small").to_pylist()), np.uint32).reshape(-1, 2 * side)
-        bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rep), -1)
+        total, second, bits = _unpacked(table.column("rest"), side)
+        firsts = table.column("first").combine_chunks().flatten().to_numpy().view(np.uint32).reshape(len(rep), side)
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        a, b = [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in left.tolist():
             others = right[rep[right] > rep[k]] if x == y else right
-            differ = np.bitwise_count(bits[others] ^ bits[k]).sum(1)
-            others = others[differ <= (size[others] + size[k]) * ((1 - threshold) / (1 + threshold)) + 1e-9]
+            others = others[may_be_alike(total[others], total[k], bits[others], bits[k], threshold)]
             a.append(np.full(len(others), k))
             b.append(others)
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        a, b = np.concatenate(a), np.concatenate(b)
         # both share this bucket's hashes; the first table in which they meet has the first equal hash of either collection
-        same = small[a] == small[b]
-        key = table.column("key")[0].as_py()
-        first = _table_key(small, a, same, side)
-        keep = first == np.int64(key)
+        i, j = (firsts[a] == firsts[b]).argmax(1), (second[a] == second[b]).argmax(1)
+        bucket = first_keys(i, firsts[a, i])
+        keep = table_keys(bucket.view(np.uint64), second[a, j].astype(np.uint64), j.astype(np.uint64)).view(np.int64) == np.int64(table.column("key")[0].as_py())
         a, b = rep[a[keep]], rep[b[keep]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return full.groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def _table_key(small: np.ndarray, record: np.ndarray, same: np.ndarray, side: int) -> np.ndarray:
-    """The key of the first table of each pair: of the first equal hashes of both collections."""
-    i, j = same[:, :side].argmax(1), same[:, side:].argmax(1)
-    return table_keys(small[record, i].astype(np.uint64), small[record, side + j].astype(np.uint64), (i * side + j).astype(np.uint64)).view(np.int64)
+def first_keys(number: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Keys of the buckets of the first collection, from a hash's number and value."""
+    return (number.astype(np.int64) << 32) | value.astype(np.int64)
 
 
 def table_keys(first: np.ndarray, second: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Keys of tables from a hash of either collection and the table's number."""
+    """Keys of tables from a bucket of the first collection, and a hash of the second with its number."""
     h = (first * np.uint64(0x9FB21C651E98DF25)) ^ (second * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (table * np.uint64(0xA24BAED4963EE407))
     h ^= h >> np.uint64(30)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -166,17 +201,28 @@ def table_keys(first: np.ndarray, second: np.ndarray, table: np.ndarray) -> np.n
 def similar_classes(reps: DataFrame, threshold: float, side: int = SIDE, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
     """Rows (a, b, similarity), a < b, of records (rep, tokens) whose sets of token trigrams have at least the given similarity."""
     sketches = cut(_sketches(reps, side, rows))
-    met = cut(_meet(sketches.select(F.explode("keys").alias("key"), "rep"), bucket))
-    crowded = met.where("b < 0").select(F.col("a").alias("key"), (-1 - F.col("b")).alias("rep"))
-    pairs = met.where("b >= 0").unionByName(_crowded(crowded, sketches, side, threshold))
-    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # sets of similarity t differ in at most (1 - t) / (1 + t) of their members' number, and their bitmaps in no more: nothing alike is ruled out
-    bits = sketches.select("rep", "n", "bits")
-    maps = both.join(bits.toDF("a", "na", "ba"), "a").join(bits.toDF("b", "nb", "bb"), "b")
-    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    both = cut(maps.where(differ <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b"))
-    grams = sketches.select("rep", "grams")
-    joined = both.join(grams.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("rep").alias("b"), F.col("grams").alias("gb")), "b")
+    hashed = sketches.select("rep", "rest", F.posexplode("first").alias("i", "u"))
+    sent = hashed.select(((F.col("i").cast("long") * F.lit(1 << 32)) + F.col("u").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"), "rep", "rest")
+    small, large = _by_size(sent, bucket)
+
+    def combine(batch: pa.RecordBatch) -> dict:
+        key, (_, second, _) = batch.column(0).to_numpy(), _unpacked(batch.column(2), side)
+        keys = table_keys(key.view(np.uint64)[:, None], second.astype(np.uint64), np.arange(side, dtype=np.uint64)[None, :]).view(np.int64)
+        again = pa.array(np.repeat(np.arange(len(key)), side))
+        return {"key": pa.array(keys.ravel()), "rep": batch.column(1).take(again), "rest": batch.column(2).take(again)}
+
+    sparse, dense = _by_size(map_arrow(large.select("key", "rep", "rest"), combine, "key long, rep long, rest binary"), bucket)
+    met = _meet(small, side, threshold, False).unionByName(_meet(sparse, side, threshold, True)).unionByName(_crowded(dense, sketches, side, threshold))
+    both = cut(met.distinct())
+    # only the records of some candidate are read again
+    needed = both.select(F.col("a").alias("rep")).unionByName(both.select(F.col("b").alias("rep"))).distinct()
+
+    def grams(batch: pa.RecordBatch) -> dict:
+        values, at = distinct_sorted(*trigrams(*token_hashes(batch.column(1))))
+        return {"rep": batch.column(0), "grams": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))}
+
+    sets = cut(map_arrow(reps.join(needed, "rep", "left_semi").select("rep", "tokens"), grams, "rep long, grams array<long>"))
+    joined = both.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return joined.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 

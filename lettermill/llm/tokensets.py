@@ -74,7 +74,7 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 
 #: Bits of the bitmaps of trigram sets.
-BITMAP = 256
+BITMAP = 512
 
 
 def bitmaps(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
