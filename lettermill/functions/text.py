@@ -76,7 +76,8 @@ def decode_entities(text: Column) -> Column:
 def _number(name: Column) -> Column:
     """The code point of '#233', '#xE9' or '#XE9'; null if it is no number."""
     hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
-    digits = F.when(hexadecimal, F.substring(name, 3, 100)).otherwise(F.substring(name, 2, 100))
+    # leading zeros say nothing about whether a number fits
+    digits = F.regexp_replace(F.when(hexadecimal, F.substr(name, F.lit(3))).otherwise(F.substr(name, F.lit(2))), "^0+(?=.)", "")
     fits = F.when(hexadecimal, digits.rlike("^[0-9a-fA-F]{1,7}$")).otherwise(digits.rlike("^[0-9]{1,9}$"))
     return F.when(fits, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long"))
 
@@ -119,11 +120,14 @@ def _ranges(chars) -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
 
 
-def fold(text: Column) -> Column:
-    """Accented letters to plain ones, all else beyond ASCII away. Texts that are ASCII already are left alone."""
-    table = fold_table()
+def fold(text: Column, table: dict[str, str] | None = None) -> Column:
+    """Accented letters to plain ones, all else beyond ASCII away. Texts that are ASCII already are left alone.
+
+    A table of one's own, such as lettermill.sources.lines.read_confusables gives, replaces the built-in one.
+    """
+    table = fold_table() if table is None else {k: v for k, v in table.items() if len(k) == 1 and ord(k) > 127}
     single = {k: v for k, v in table.items() if len(v) == 1}
-    several = {k: v for k, v in table.items() if len(v) > 1}
+    several = {k: v for k, v in table.items() if len(v) > 1} or {"ß": "ss"}
     pattern = "(?=[^\\x00-\\x7F])([" + _ranges(several) + "])"  # ASCII is passed over by the first test
     pairs = _map(several)
 
@@ -146,9 +150,9 @@ def lex(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda t: t != "")
 
 
-def tokenize(text: Column) -> Column:
-    """Redact, decode entities, fold, lower, lex. Null stays null, empty text gives an empty array."""
-    return lex(F.lower(fold(decode_entities(redact(text)))))
+def tokenize(text: Column, table: dict[str, str] | None = None) -> Column:
+    """Redact, decode entities, fold, lower, lex. Null stays null, empty text gives an empty array. table as for fold()."""
+    return lex(F.lower(fold(decode_entities(redact(text)), table)))
 
 
 def squeeze(text: Column) -> Column:

@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 
 
+#: A sentence whose lines are left out of comparisons. Fixed value.
+IGNORED = "sajnalom de rossz hirem van szamodra ! egy par honappal ezelott"
+
+
+def comparable(rows: DataFrame, tokens: str, order: str, ignored: str = IGNORED) -> DataFrame:
+    """The lines that a comparison counts: without those that hold the ignored sentence, and of equal lines the first by order.
+
+    Lines are told apart by two 64-bit hashes of their text. Null tokens count as an empty line; orders must be unique.
+    """
+    text = F.coalesce(F.array_join(tokens, " "), F.lit(""))
+    kept = rows.where(~F.contains(text, F.lit(ignored)))
+    first = kept.groupBy(F.xxhash64(text).alias("_h1"), F.xxhash64(F.lit(1), text).alias("_h2")).agg(F.min(order).alias("_first")).select("_first")
+    return kept.join(first, kept[order] == first["_first"], "left_semi")
+
+
 def compared(rows: DataFrame, old: str, new: str) -> DataFrame:
     """Adds diff = old - new and change: '+' ham to spam, '-' spam to ham, '?' and '!' at the outer borders, else blank."""
     o, n = F.col(old), F.col(new)

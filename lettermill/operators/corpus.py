@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..storage import cut
 
@@ -15,6 +17,8 @@ LENGTH = 100
 SHINGLE = 7
 #: Shingles of open rows that one task of the greedy de-duplication settles at a time.
 SETTLE = 500_000
+#: Entries of a vocabulary that every task may hold (a few megabytes).
+VOCABULARY = 100_000
 
 
 def best_candidate(rows: DataFrame, key: str, order: str, size: str) -> DataFrame:
@@ -24,15 +28,27 @@ def best_candidate(rows: DataFrame, key: str, order: str, size: str) -> DataFram
 
 
 def first_of_each(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """One row of each distinct text, the first by order; null texts are one text."""
-    return rows.groupBy(F.col(text).alias("_text")).agg(F.min_by(F.struct("*"), F.col(order)).alias("_r")).select("_r.*")
+    """One row of each distinct text, the first by order; null texts are one text. Orders must be unique.
+
+    Texts are told apart by two 64-bit hashes; only hashes and orders are grouped, and texts are neither sorted nor shuffled for that.
+    """
+    marked = cut(rows.withColumns({"_h1": F.xxhash64(F.col(text)), "_h2": F.xxhash64(F.lit(1), F.col(text).isNull(), F.col(text))}))
+    first = marked.groupBy("_h1", "_h2").agg(F.min(order).alias("_first")).select("_first")
+    return marked.join(first, marked[order] == first["_first"], "left_semi").drop("_h1", "_h2")
 
 
 def shingles(rows: DataFrame, key: str, tokens: str, n: int = SHINGLE) -> DataFrame:
-    """Rows (key, pos, shingle): every run of n tokens."""
+    """Rows (key, pos, h1, h2): every run of n tokens, as two 64-bit hashes."""
     size = F.size(tokens)
-    grams = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return rows.select(key, F.posexplode(grams).alias("pos", "shingle"))
+    run = lambda i: F.struct(F.xxhash64(F.slice(tokens, i, n)).alias("h1"), F.xxhash64(F.lit(1), F.slice(tokens, i, n)).alias("h2"))
+    grams = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), run)).otherwise(F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
+    return rows.select(key, F.posexplode(grams).alias("pos", "s")).select(key, "pos", "s.h1", "s.h2")
+
+
+def _shared(grams: DataFrame, key: str) -> DataFrame:
+    """Rows (h1, h2, first) of the shingles that more than one row has, with the first of these; the others decide nothing."""
+    owners = grams.groupBy("h1", "h2").agg(F.min(key).alias("first"), F.max(key).alias("_last"))
+    return owners.where(F.col("first") < F.col("_last")).drop("_last")
 
 
 def _limit(size):
@@ -46,9 +62,8 @@ def near_dedup(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     aggregate and a join, so that a shingle of very many rows is combined before it is shuffled.
     """
     rows = cut(rows.select(key, tokens))
-    grams = shingles(rows, key, tokens).groupBy(key, "shingle").agg(F.count("*").alias("n"))
-    first = grams.groupBy("shingle").agg(F.min(key).alias("first"))
-    seen = grams.join(first, "shingle").groupBy(key).agg(F.sum(F.when(F.col("first") < F.col(key), F.col("n")).otherwise(0)).alias("seen"))
+    grams = shingles(rows, key, tokens)
+    seen = grams.join(_shared(grams, key), ["h1", "h2"]).where(F.col("first") < F.col(key)).groupBy(key).agg(F.count("*").alias("seen"))
     return rows.select(key, F.size(tokens).alias("size")).join(seen, key, "left").select(key, F.coalesce("seen", F.lit(0)).alias("seen"), (F.coalesce("seen", F.lit(0)) <= _limit(F.col("size"))).alias("kept"))
 
 
@@ -60,7 +75,9 @@ def near_dedup_greedy(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     one task. At least the first open row is settled each time, so that chains of any length come to an end.
     """
     rows = cut(rows.select(key, tokens))
-    grams = cut(shingles(rows, key, tokens).groupBy(key, "shingle").agg(F.count("*").alias("n")))
+    every = shingles(rows, key, tokens)
+    numbered = cut(_shared(every, key).select("h1", "h2", F.monotonically_increasing_id().alias("shingle")))
+    grams = cut(every.join(numbered, ["h1", "h2"]).groupBy(key, "shingle").agg(F.count("*").alias("n")))
     sizes = cut(rows.select(key, F.size(tokens).alias("size")))
     kept, rest = None, sizes
     while True:
@@ -108,7 +125,7 @@ def _one_by_one(bounds: DataFrame, left: DataFrame, key: str) -> DataFrame:
     ordered = bounds.join(lists, key, "left").select(key, (_limit(F.col("size")) - F.col("low")).alias("room"), "shingles", "ns").repartition(1).sortWithinPartitions(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owned: set[str] = set()
+        owned: set[int] = set()
         for batch in batches:
             ok = []
             for room, grams, ns in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
@@ -126,8 +143,36 @@ def vocabulary(rows: DataFrame, tokens: str, least: int = 1) -> DataFrame:
     return rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def known_tokens(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
-    """Rows (key, tokens, ids): the tokens that the vocabulary (token, id) has, in order and with repeats. Every key stays."""
+def known_tokens(rows: DataFrame, key: str, tokens: str, vocab: DataFrame, minlen: int = 1) -> DataFrame:
+    """Rows (key, tokens, ids): the tokens that the vocabulary (token, id) has, in order and with repeats. Every key stays.
+
+    Tokens shorter than minlen are left out. A vocabulary of up to VOCABULARY entries is a model that every task holds, and its
+    tokens are looked up in whole Arrow columns; a larger one is joined.
+    """
+    vocab = vocab.where(F.col("token").isNotNull() & (F.length("token") >= minlen)).select("token", F.col("id").cast("int").alias("id"))
+    if vocab.limit(VOCABULARY + 1).count() > VOCABULARY:
+        return _joined_tokens(rows, key, tokens, vocab)
+    table = vocab.toArrow().combine_chunks()
+    sent = rows.sparkSession.sparkContext.broadcast((table.column("token").combine_chunks(), table.column("id").combine_chunks()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, numbers = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            at = pc.index_in(flat, value_set=words)
+            known = pc.is_valid(at)
+            upto = np.concatenate(([0], np.cumsum(known.to_numpy(zero_copy_only=False))))
+            offsets = pa.array(upto[np.concatenate(([0], np.cumsum(sizes)))].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat.filter(known).cast(pa.string())), pa.ListArray.from_arrays(offsets, numbers.take(at.filter(known)).cast(pa.int32()))], names=[key, "tokens", "ids"])
+
+    schema = StructType([rows.schema[key], StructField("tokens", ArrayType(StringType())), StructField("ids", ArrayType(IntegerType()))])
+    return rows.select(key, tokens).mapInArrow(run, schema)
+
+
+def _joined_tokens(rows: DataFrame, key: str, tokens: str, vocab: DataFrame) -> DataFrame:
+    """The same with a vocabulary of any size."""
     rows = cut(rows.select(key, tokens))
     words = rows.select(F.col(key).alias("_key"), F.posexplode(tokens).alias("_pos", "_token"))
     known = words.join(vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id")), "_token")
@@ -163,8 +208,14 @@ def labelled_union(spam: DataFrame, ham: DataFrame, spam_held: DataFrame, ham_he
 
 
 def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """All rows in an order that depends on key and seed only."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """Adds position, from 1: the place of each row in an order that depends on key and seed only. Keys must be unique.
+
+    Rows are ranked within the 4,096 blocks of their hash, and a block's offset is the number of rows before it.
+    """
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))))).withColumn("_b", F.substring("_h", 1, 3))
+    sums = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
+    offsets = sums.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    return hashed.join(F.broadcast(offsets), "_b").withColumn("position", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)) + F.col("_o")).drop("_h", "_b", "_o")
 
 
 def file_boundaries(lines: DataFrame, file: str, no: str, line: str) -> DataFrame:

@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..functions.html import html_to_text
+from ..functions.html import cut_head, html_to_text, is_html
 from ..operators import addresses, compare, corpus, model
-from ..sources import mime
+from ..sources import mbox, mime
 from ..sources.lines import pass_directives
 from ..storage import spread
 from ..streaming import milter
 from . import oracle
 
 
+#: Rows of an embedding matrix that every task may hold.
+MATRIX_ROWS = 200_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,13 +42,17 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_no", (F.col("score") + (F.col("line_no") % 7) * 0.125).alias("raw"), F.size("tokens").alias("known"))
 
 
-def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The logged score against that of a second, deterministic scorer."""
-    rows = _lines(spark, sf_dir, "score", "tokens").where("score is not null and tokens is not null")
+def _rescored(rows: DataFrame) -> DataFrame:
+    """Lines with the score of a second, deterministic scorer, compared with the logged one."""
     other = (F.aggregate(F.transform("tokens", F.length), F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) * 37 + F.size("tokens") * 11) % 101
     return compare.compared(rows.withColumn("new", other.cast("int")), "score", "new")
 
 
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logged score against that of a second scorer."""
+    return _rescored(_lines(spark, sf_dir, "score", "tokens").where("score is not null and tokens is not null"))
+
+
 def _documents_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.tokenized(_docs(spark, sf_dir).where("text is not null").select("doc_id", "lang", "text"), "text").drop("text")
 
@@ -80,7 +88,8 @@ def token_totals_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_to_text(_docs(spark, sf_dir).where("lower(ctype) like 'text/html%'"), "doc_id", "text").select(F.col("id").alias("doc_id"), "text")
+    docs = _docs(spark, sf_dir).where(is_html(F.coalesce("text", F.lit("")), F.coalesce(F.trim(F.substring_index("ctype", ";", 1)), F.lit(""))))
+    return html_to_text(docs.withColumn("text", cut_head(F.col("text"))), "doc_id", "text").select(F.col("id").alias("doc_id"), "text")
 
 
 def html_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,12 +254,19 @@ def address_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return addresses.events(header_addresses(spark, sf_dir))
 
 
+def _matrix(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """The whole embedding matrix: a model of fixed size, and not a table that grows with the mail; one too large to be sent is an error."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = rows.count()
+    if n > MATRIX_ROWS:
+        raise ValueError(f"an embedding matrix of {n} rows is too large to be sent to every task")
+    return np.array([r[1] for r in rows.orderBy("vec_id").collect()], np.float32)
+
+
 def cnn_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the matrix is the model, of fixed size, and not a table that grows with the mail
-    vectors = np.array([r[0] for r in _table(spark, sf_dir, "embeddings").orderBy("vec_id").select("embedding").limit(65_536).collect()], np.float32)
     known = corpus.known_tokens(_documents_tokens(spark, sf_dir), "doc_id", "tokens", _table(spark, sf_dir, "vocab"))
     rows = known.select("doc_id", corpus.padded(F.col("ids")).alias("ids"))
-    return model.score(rows, "ids", model.random_weights(vectors)).select("doc_id", "score")
+    return model.score(rows, "ids", model.random_weights(_matrix(spark, sf_dir))).select("doc_id", "score")
 
 
 def linear_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,21 +275,92 @@ def linear_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.evaluate(fitted.transform(mail.where("split = 'validation'")), "label")
 
 
+def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "header_block").where("name is not null").select("msg_no", "seq", "name", F.coalesce("value", F.lit("")).alias("value")).dropDuplicates(["msg_no", "seq"])
+
+
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of each message: MailFrom, its headers, EndHeaders, its first text part as body, EndBody."""
-    heads = _table(spark, sf_dir, "header_block").where("name is not null").select("msg_no", "seq", "name", F.coalesce("value", F.lit("")).alias("value")).dropDuplicates(["msg_no", "seq"])
-    parts = _table(spark, sf_dir, "mime_parts").where("part_no = 0").select("msg_no", "payload").dropDuplicates(["msg_no"])
+    """Frames of each message: MailFrom, its headers, EndHeaders, its parts as body chunks in order, EndBody."""
+    heads = _heads(spark, sf_dir)
+    parts = _table(spark, sf_dir, "mime_parts").where("msg_no is not null").select("msg_no", "part_no", "payload").dropDuplicates(["msg_no", "part_no"])
+    every = heads.select("msg_no").unionByName(parts.select("msg_no")).distinct()
     conn = F.concat(F.lit("c"), F.col("msg_no").cast("string")).alias("conn_id")
     row = lambda df, seq, cmd, payload: df.select(conn, seq.cast("long").alias("seq"), F.lit(cmd).alias("cmd"), payload.cast("binary").alias("payload"))
-    header = row(heads, F.col("seq") + 1, "L", F.concat(F.encode("name", "UTF-8"), F.lit(b"\0"), F.encode("value", "UTF-8"), F.lit(b"\0")))
-    out = row(parts, F.lit(0), "M", F.lit(b"<a@b.example>\0")).unionByName(header)
-    for seq, cmd, payload in ((1_000_000, "N", F.lit(b"")), (1_000_001, "B", F.coalesce("payload", F.lit(b""))), (1_000_002, "E", F.lit(b""))):
-        out = out.unionByName(row(parts, F.lit(seq), cmd, payload))
-    return out.join(parts.select(conn), "conn_id", "left_semi")
+    out = row(every, F.lit(0), "M", F.lit(b"<a@b.example>\0"))
+    out = out.unionByName(row(heads, F.col("seq") + 1, "L", F.concat(F.encode("name", "UTF-8"), F.lit(b"\0"), F.encode("value", "UTF-8"), F.lit(b"\0"))))
+    out = out.unionByName(row(every, F.lit(1_000_000), "N", F.lit(b""))).unionByName(row(parts, F.col("part_no") + 1_000_001, "B", F.coalesce("payload", F.lit(b""))))
+    return out.unionByName(row(every, F.lit(1 << 40), "E", F.lit(b"")))
 
 
 def mail_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return milter.assembled_batch(_frames(spark, sf_dir)).select("conn_id", "seq", F.length("raw").cast("long").alias("bytes"), "size", F.md5("raw").alias("md5"))
+    return milter.assembled_batch(_frames(spark, sf_dir)).select("conn_id", F.length("raw").cast("long").alias("bytes"), "size", F.md5(F.hex("raw").cast("binary")).alias("md5"), F.col("grey_reject").alias("grey"))
+
+
+def milter_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers and envelope addresses as the parsers give them, read as UTF-8."""
+    rows = milter.parsed(_frames(spark, sf_dir).where("cmd in ('L', 'M')"))
+    utf8 = lambda x: F.decode(F.encode(x, "ISO-8859-1"), "UTF-8")
+    return rows.select("conn_id", "seq", "name", utf8(F.get("args", F.lit(0))).alias("first"), utf8(F.try_element_at("args", F.lit(2))).alias("second"))
+
+
+def milter_negotiation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negotiation and capabilities, with the number of a log line as the bits that are offered."""
+    rows = _lines(spark, sf_dir).withColumns({"can": F.col("line_no").bitwiseAND(F.lit(63)), "skip": F.col("line_no").bitwiseAND(F.lit(127))})
+    act = F.element_at(F.array(*[F.lit(a) for a in ("AddHeader", "ChangeBody", "AddRecipient", "DeleteRecipient", "ChangeHeader", "Quarantine", "Accept")]), (F.col("line_no") % 7 + 1).cast("int"))
+    return rows.withColumn("n", milter.negotiated(F.col("can"), F.col("skip"), 17, milter.skipped(["MailFrom", "Header", "Body"]))).select("line_no", "n.*", act.alias("action"), milter.allowed(act, F.col("can")).alias("ok"))
+
+
+def milter_header_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    utf8 = lambda x: F.decode(F.encode(x, "ISO-8859-1"), "UTF-8")
+    return milter.logged_headers(_frames(spark, sf_dir)).select("conn_id", "seq", "header", utf8(F.col("value")).alias("value"))
+
+
+def milter_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actions at the end of each scored message."""
+    listed = verdict_online(spark, sf_dir).select("line_no", F.posexplode(milter.actions(F.col("verdict"))).alias("pos", "a"))
+    return listed.select("line_no", "pos", "a.action", F.col("a.name").alias("header"), "a.value")
+
+
+def canonical_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = _heads(spark, sf_dir).where("lower(trim(name)) = 'from'")
+    return heads.select("msg_no", "seq", milter.canonical(F.regexp_extract("value", r"(<[^<>]*>)", 1)).alias("addr"))
+
+
+def header_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header lines as they come out of whole raw messages; values in which a blank line would end the headers are left out."""
+    lines = _heads(spark, sf_dir).where(~F.col("name").rlike(r"[\s:]") & (F.trim("name") != "") & F.col("value").rlike(r"^[^\r\n]*\S[^\r\n]*$"))
+    line = F.concat("name", F.lit(": "), F.regexp_replace("value", r"^[ \t]+|[ \t]+$", ""))
+    raw = lines.groupBy("msg_no").agg(F.array_join(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).getField("line"), "\n").alias("head"))
+    messages = raw.select("msg_no", F.encode(F.concat(F.lit("From x\n"), "head", F.lit("\n\nbody: none\n")), "UTF-8").alias("raw"))
+    return mbox.header_lines(messages).groupBy("msg_no", "name", "value").agg(F.count("*").alias("n"))
+
+
+def parts_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as they come out of whole messages that are put together from them."""
+    parts = _table(spark, sf_dir, "mime_parts").where("msg_no is not null").select("msg_no", "part_no", "ctype", "payload").dropDuplicates(["msg_no", "part_no"])
+    return mime.read_parts(mime.composed(parts)).select("msg_no", (F.col("part_no") - 1).alias("part_no"), "ctype", F.md5(F.hex("payload").cast("binary")).alias("md5"))
+
+
+def rtf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as RTF and read again."""
+    return mime.read_as(_docs(spark, sf_dir).where("text is not null").select("doc_id", mime.to_rtf(F.col("text")).alias("payload")), "rtf")
+
+
+def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents written as paragraphs of a DOCX and read again."""
+    return mime.read_as(mime.to_docx(_docs(spark, sf_dir).where("text is not null").select("doc_id", "text")), "docx")
+
+
+def score_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of two scorers over the lines that count: no ignored ones, and each text once."""
+    lines = compare.comparable(_lines(spark, sf_dir, "score", "tokens").where("score is not null and tokens is not null"), "tokens", "line_no")
+    return compare.counters(_rescored(lines))
+
+
+def result_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the validation dump, with a logged score in place of a model's."""
+    rows = _lines(spark, sf_dir, "score", "tokens").where("score is not null and tokens is not null")
+    return rows.select("line_no", model.result_line(F.col("score").cast("double"), F.col("line_no") % 2, F.col("line_no") % 100, F.lit(100), F.array_join("tokens", " ")).alias("line"))
 
 
 def milter_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +372,7 @@ def milter_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shuffled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.shuffled(_table(spark, sf_dir, "mail_corpus").where("split = 'train'").select("id").distinct(), "id", 7)
+    return corpus.shuffled(_table(spark, sf_dir, "mail_corpus").where("split = 'train' and id is not null").select("id").distinct(), "id", 7)
 
 
 _QUERIES = (
@@ -293,7 +380,8 @@ _QUERIES = (
     reply_truncate, corpus_words, vocab_counts, vocab_topk, vocab_coverage, encode_sequence, minimum_evidence, best_part, exact_dedup, near_dedup_relational, near_dedup_greedy,
     label_union_onehot, split_counts, verdict_online, verdict_batch, verdict_points, routed_counts, percent_of_outputs, score_compare, score_counters, score_running_error,
     large_changes, score_log_round_trip, directive_lines, mbox_split, charset_repair, mime_candidates, attachment_kinds, header_names, header_addresses, address_book, address_events,
-    cnn_score, linear_evaluation, mail_assembly, milter_activity, milter_replies, shuffled_ids,
+    cnn_score, linear_evaluation, mail_assembly, milter_activity, milter_replies, shuffled_ids, milter_parsed, milter_negotiation, milter_header_log, milter_actions,
+    canonical_addresses, header_scan, parts_walk, rtf_text, docx_text, score_regression, result_dump,
 )
 
 

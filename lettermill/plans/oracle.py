@@ -7,6 +7,7 @@ from html.entities import name2codepoint
 from ..functions import html as h
 from ..functions import scores
 from ..functions import text as t
+from ..operators.compare import IGNORED
 from ..sources.mime import CHARSETS, DOCX_TYPE
 
 
@@ -77,7 +78,9 @@ _BATCH = "CASE WHEN known < 10 THEN 'toosmall' WHEN s <= 10 THEN 'ham-' || trunc
 _CHANGED = f"""{_LINES}, nw AS (SELECT *, ((coalesce(list_sum(list_transform(tokens, lambda x: coalesce(length(x), 0))), 0)::BIGINT * 37 + len(tokens) * 11) % 101)::INT AS new FROM ln),
 ch AS (SELECT *, score - new AS diff, CASE WHEN score <= 20 AND new >= 80 THEN '+' WHEN new <= 20 AND score >= 80 THEN '-' WHEN score < 2 AND new >= 2 THEN '?'
 WHEN new < 2 AND score >= 2 THEN '!' WHEN score >= 98 AND new < 98 THEN '?' WHEN new >= 98 AND score < 98 THEN '!' ELSE ' ' END AS change FROM nw)"""
-_HTML = f"""src AS (SELECT doc_id, regexp_replace({_sub('text', h.COMMENT, ' HTMLcomment ')}, {_q(h.OPEN_COMMENT)}, '') AS c FROM documents WHERE text IS NOT NULL AND lower(ctype) LIKE 'text/html%'),
+_IS_HTML = "(lower(trim(split_part(coalesce(ctype, ''), ';', 1))) IN ('text/html', 'text/xml') OR " + " OR ".join(f"contains(lower(coalesce(text, '')), '{m}')" for m in h.MARKS) + ")"
+_HTML = f"""hd AS (SELECT doc_id, CASE WHEN strpos(lower(text), '<body') > 1 THEN substr(text, strpos(lower(text), '<body')) ELSE text END AS text FROM documents WHERE {_IS_HTML}),
+src AS (SELECT doc_id, regexp_replace({_sub('text', h.COMMENT, ' HTMLcomment ')}, {_q(h.OPEN_COMMENT)}, '') AS c FROM hd WHERE text IS NOT NULL),
 ch AS (SELECT doc_id, unnest(string_split(c, '<')) AS chunk, generate_subscripts(string_split(c, '<'), 1) AS pos FROM src),
 tg AS (SELECT *, CASE WHEN contains(chunk, '>') THEN substr(chunk, 1, strpos(chunk, '>') - 1) END AS tag FROM ch),
 nm AS (SELECT *, lower(regexp_extract(tag, '^\\s*(\\S+)', 1)) AS name, CASE WHEN tag IS NULL THEN chunk ELSE substr(chunk, length(tag) + 2) END AS rest FROM tg),
@@ -87,7 +90,11 @@ pc AS (SELECT doc_id, pos, CASE WHEN tag IS NULL THEN rest WHEN st <= 0 AND sp <
 (CASE WHEN name IN ('p','span','div') AND regexp_matches(lower(tag) || ';', {_q(h.WHITE)}) THEN chr(10) || 'HTMLhiddenWHITE:' ELSE '' END) ||
 (CASE WHEN name IN ('p','span','div') AND regexp_matches(lower(tag) || ';', {_q(h.TINY)}) THEN chr(10) || 'HTMLhiddenFONTSIZE:' ELSE '' END) ||
 (CASE WHEN name IN ('p','br','td','div','li') THEN chr(10) ELSE '' END) || rest ELSE '' END AS piece FROM dp),
-txt AS (SELECT d.doc_id, x.text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS text FROM pc GROUP BY doc_id) x ON d.doc_id = x.doc_id WHERE lower(d.ctype) LIKE 'text/html%')"""
+txt AS (SELECT d.doc_id, x.text FROM hd d LEFT JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY pos) AS text FROM pc GROUP BY doc_id) x ON d.doc_id = x.doc_id)"""
+_NUMBER = "CASE WHEN lower(n[2]) = 'x' THEN TRY_CAST('0x' || regexp_replace(n[3:], '^0+(.)', '\\1') AS BIGINT) ELSE TRY_CAST(regexp_replace(n[2:], '^0+(.)', '\\1') AS BIGINT) END"
+_HEADS = "hs AS (SELECT DISTINCT msg_no, seq, name, coalesce(value, '') AS value FROM header_block WHERE name IS NOT NULL)"
+_MAIL = f"""{_HEADS}, ps AS (SELECT DISTINCT msg_no, part_no, coalesce(payload, ''::BLOB) AS payload FROM mime_parts WHERE msg_no IS NOT NULL),
+ev AS (SELECT msg_no FROM hs UNION SELECT msg_no FROM ps)"""
 
 
 def _count(word: str) -> str:
@@ -144,5 +151,25 @@ SELECT doc_id, (sum(beg) + 1 - max(CASE WHEN pos = 1 THEN beg ELSE 0 END))::BIGI
         "charset_repair": f"SELECT msg_no, part_no, CASE WHEN c IS NULL THEN 'utf-8' WHEN c = '' THEN 'iso8859-2' WHEN starts_with(c, 'utf8') THEN 'utf-8' ELSE coalesce(map_extract_value(MAP {{{names}}}, c), c) END AS charset FROM (SELECT DISTINCT msg_no, part_no, charset, lower(trim(charset)) AS c FROM mime_parts)",
         "attachment_kinds": f"SELECT * FROM (SELECT msg_no, part_no, CASE WHEN c = 'application/pdf' OR f LIKE '%.pdf' THEN 'pdf' WHEN c = 'application/rtf' OR f LIKE '%.rtf' THEN 'rtf' WHEN c = '{DOCX_TYPE}' OR f LIKE '%.docx' THEN 'docx' WHEN c = 'application/ms-tnef' OR f = 'winmail.dat' THEN 'tnef' END AS kind FROM (SELECT DISTINCT msg_no, part_no, lower(trim(split_part(ctype, ';', 1))) AS c, lower(coalesce(fname, 'none')) AS f FROM mime_parts)) WHERE kind IS NOT NULL",
         "header_names": "SELECT hdr, count(*) AS n, sum(CASE WHEN hdr IN ('from', 'to', 'cc', 'bcc', 'reply-to') THEN 1 ELSE 0 END)::BIGINT AS with_addresses FROM (SELECT DISTINCT msg_no, seq, lower(trim(name)) AS hdr FROM header_block WHERE name IS NOT NULL) GROUP BY hdr",
-        "shuffled_ids": "SELECT DISTINCT id FROM mail_corpus WHERE split = 'train'",
+        "shuffled_ids": "SELECT id, row_number() OVER (ORDER BY md5(id::VARCHAR || '/7'), id) AS position FROM (SELECT DISTINCT id FROM mail_corpus WHERE split = 'train' AND id IS NOT NULL)",
+        "numeric_entities": f"SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(text, {_q(t.NUMERIC)}, 1), lambda n: coalesce(({_NUMBER}) > 1114111, true))) > 0 THEN NULL ELSE {_rebuilt('text', t.NUMERIC, f"CASE WHEN ({_NUMBER}) < 128 THEN '&' || n || ';' ELSE chr(({_NUMBER})::INT) END")} END AS decoded FROM documents",
+        "mail_assembly": f"""WITH {_MAIL}, hd AS (SELECT msg_no, string_agg(hex(encode(name || ': ' || value)) || '0A', '' ORDER BY seq) AS x, max(CASE WHEN name = 'X-Grey-ng' AND value LIKE 'REJECT%' THEN 1 ELSE 0 END) AS g FROM hs GROUP BY msg_no),
+bd AS (SELECT msg_no, string_agg(hex(payload), '' ORDER BY part_no) AS x FROM ps GROUP BY msg_no)
+SELECT 'c' || ev.msg_no AS conn_id, (length(coalesce(hd.x, '')) + 2 + length(coalesce(bd.x, ''))) // 2 AS bytes, length(coalesce(bd.x, '')) // 2 AS size, md5(coalesce(hd.x, '') || '0A' || coalesce(bd.x, '')) AS md5, coalesce(g, 0) = 1 AS grey
+FROM ev LEFT JOIN hd ON ev.msg_no = hd.msg_no LEFT JOIN bd ON ev.msg_no = bd.msg_no""",
+        "milter_activity": f"WITH {_MAIL} SELECT (SELECT count(*) FROM ev) AS connections, (SELECT count(*) FROM ev) AS messages, (SELECT sum(octet_length(payload)) FROM ps)::BIGINT AS body_bytes",
+        "milter_replies": f"WITH {_MAIL} SELECT * FROM (VALUES ('M', (SELECT count(*) FROM ev), 'Continue'), ('L', (SELECT count(*) FROM hs), 'Continue'), ('N', (SELECT count(*) FROM ev), 'Continue'), ('B', (SELECT count(*) FROM ps), 'Continue'), ('E', (SELECT count(*) FROM ev), 'Continue')) v(cmd, n, reply)",
+        "milter_parsed": f"WITH {_MAIL} SELECT 'c' || msg_no AS conn_id, seq + 1 AS seq, 'Header' AS name, name AS first, value AS second FROM hs UNION ALL SELECT 'c' || msg_no, 0, 'MailFrom', 'a@b.example', NULL FROM ev",
+        "milter_header_log": f"WITH {_HEADS} SELECT 'c' || msg_no AS conn_id, seq + 1 AS seq, name AS header, value FROM hs WHERE name IN ('X-Grey-ng', 'From')",
+        "milter_negotiation": """WITH l AS (SELECT DISTINCT line_no FROM score_log), n AS (SELECT line_no, 2 AS version, (line_no & 63) & 17 AS actions, (line_no & 127) & 75 AS protocol, line_no & 63 AS can,
+['AddHeader', 'ChangeBody', 'AddRecipient', 'DeleteRecipient', 'ChangeHeader', 'Quarantine', 'Accept'][line_no % 7 + 1] AS action FROM l)
+SELECT line_no, version, actions, protocol, action, CASE action WHEN 'Accept' THEN true ELSE (can & CASE action WHEN 'AddHeader' THEN 1 WHEN 'ChangeBody' THEN 2 WHEN 'AddRecipient' THEN 4 WHEN 'DeleteRecipient' THEN 8 WHEN 'ChangeHeader' THEN 16 ELSE 32 END) > 0 END AS ok FROM n""",
+        "milter_actions": f"WITH {_SCORED}, v AS (SELECT line_no, CASE WHEN known < 10 THEN 'toosmall' ELSE {_BUCKET} || ' ' || trunc(s)::INT || '%' END AS verdict FROM sc) SELECT line_no, 0 AS pos, 'AddHeader' AS action, 'X-Mail-Verdict' AS header, verdict AS value FROM v UNION ALL SELECT line_no, 1, 'Accept', NULL, NULL FROM v UNION ALL SELECT line_no, 2, 'Continue', NULL, NULL FROM v",
+        "canonical_addresses": f"WITH {_HEADS} SELECT msg_no, seq, CASE WHEN a = '<>' THEN a ELSE regexp_replace(a, '^<+|>+$', '', 'g') END AS addr FROM (SELECT msg_no, seq, regexp_extract(value, '(<[^<>]*>)', 1) AS a FROM hs WHERE lower(trim(name)) = 'from')",
+        "header_scan": f"WITH {_HEADS} SELECT msg_no, name, regexp_replace(value, '^[ \\t]+|[ \\t]+$', '', 'g') AS value, count(*) AS n FROM hs WHERE NOT regexp_matches(name, '[\\s:]') AND trim(name) <> '' AND regexp_full_match(value, '[^\\r\\n]*\\S[^\\r\\n]*') GROUP BY ALL",
+        "parts_walk": "SELECT msg_no, (row_number() OVER (PARTITION BY msg_no ORDER BY part_no) - 1)::INT AS part_no, lower(trim(split_part(ctype, ';', 1))) AS ctype, md5(hex(coalesce(payload, ''::BLOB))) AS md5 FROM (SELECT DISTINCT msg_no, part_no, ctype, payload FROM mime_parts WHERE msg_no IS NOT NULL)",
+        "rtf_text": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
+        "docx_text": "SELECT doc_id, chr(9) || replace(replace(replace(text, '<', ' '), '>', ' '), chr(10), chr(9)) AS text FROM documents WHERE text IS NOT NULL",
+        "score_regression": f"WITH {_CHANGED.replace('nw AS (SELECT *,', 'cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY array_to_string(tokens, chr(32)) ORDER BY line_no) AS r FROM ln WHERE NOT contains(array_to_string(tokens, chr(32)), ' + _q(IGNORED) + ')) WHERE r = 1), nw AS (SELECT *,').replace('AS new FROM ln)', 'AS new FROM cp)')} SELECT count(*) AS total, count(*) FILTER (diff <> 0) AS changed, count(*) FILTER (change = '+') AS to_spam, count(*) FILTER (change = '-') AS to_ham FROM ch",
+        "result_dump": f"WITH {_LINES} SELECT line_no, printf('%3d %%  [%d/%d]   %8.5f / %8.5f  %s', score, line_no % 100, 100, score / 100.0::DOUBLE, (line_no % 2)::DOUBLE, array_to_string(tokens, ' ')) AS line FROM ln",
     }

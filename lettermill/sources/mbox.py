@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..storage import full_uri
+
 SCHEMA = "file string, msg_no long, raw binary"
 
 
@@ -60,8 +63,21 @@ class SplitMbox:
 
 def write_mbox(messages: DataFrame, path: str) -> None:
     """Messages (msg_no, raw) as one binary mailbox piece per partition, in order of msg_no, through a data source sink."""
-    messages.sparkSession.dataSource.register(MboxSink)
-    messages.select("msg_no", "raw").sortWithinPartitions("msg_no").write.format("mbox").mode("append").save(path)
+    write_raw(messages.sortWithinPartitions("msg_no").select(F.lit("").alias("box"), "raw"), path, ".mbox")
+
+
+def write_mailboxes(messages: DataFrame, verdict: str, path: str) -> None:
+    """Messages (msg_no, raw) appended to one mailbox for each verdict: the folder path/test_<verdict>, with a piece from each task that had such messages."""
+    box = F.concat(F.lit("test_"), F.regexp_replace(F.coalesce(F.col(verdict), F.lit("none")), r"[^\w.%-]+", "_"))
+    write_raw(messages.select(box.alias("box"), "msg_no", "raw").sortWithinPartitions("box", "msg_no").select("box", "raw"), path, ".mbox")
+
+
+def write_raw(rows: DataFrame, path: str, ending: str) -> None:
+    """The bytes of rows (box, raw), one after the other, in files of the folder path/box, on any file system that pyarrow knows; files appear once all tasks are done."""
+    spark = rows.sparkSession
+    spark.dataSource.register(RawSink)
+    uri = full_uri(spark, spark._jvm.org.apache.hadoop.fs.Path(path))
+    rows.select("box", "raw").write.format("rawfiles").option("ending", ending).mode("append").save(uri)
 
 
 def header_lines(messages: DataFrame) -> DataFrame:
@@ -78,36 +94,66 @@ def header_lines(messages: DataFrame) -> DataFrame:
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage  # noqa: E402
 
 
-class MboxSink(DataSource):
-    """Sink 'mbox': the raw bytes of messages, one file for each task."""
+class RawSink(DataSource):
+    """Sink 'rawfiles': the raw bytes of rows, in one file for each task and box."""
 
     @classmethod
     def name(cls) -> str:
-        return "mbox"
+        return "rawfiles"
 
     def schema(self) -> str:
-        return "msg_no long, raw binary"
+        return "box string, raw binary"
 
     def writer(self, schema, overwrite):
-        return _MboxWriter(self.options["path"])
+        return _RawWriter(self.options["path"], self.options.get("ending", ""))
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """Files that a task has written, by their temporary and their final names."""
+
+    files: list[tuple[str, str]]
+
+
+class _RawWriter(DataSourceWriter):
+    def __init__(self, uri: str, ending: str):
+        self.uri, self.ending = uri, ending
 
+    def _system(self):
+        import pyarrow.fs
 
-class _MboxWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+        return pyarrow.fs.FileSystem.from_uri(self.uri)
 
     def write(self, rows):
-        import os
         import uuid
 
-        os.makedirs(self.path, exist_ok=True)
-        # under a temporary name until it is whole, so that a lost task leaves no half mailbox
-        name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.mbox")
-        with open(name + ".tmp", "wb") as out:
-            for row in rows:
-                out.write(bytes(row.raw))
-        os.replace(name + ".tmp", name)
-        return WriterCommitMessage()
+        system, root = self._system()
+        name, opened, files = uuid.uuid4().hex, None, []
+        for row in rows:
+            if opened is None or opened[0] != row.box:
+                if opened is not None:
+                    opened[1].close()
+                folder = f"{root}/{row.box}" if row.box else root
+                system.create_dir(folder, recursive=True)
+                last = f"{folder}/part-{name}-{len(files)}{self.ending}"
+                files.append((f"{folder}/_part-{name}-{len(files)}", last))
+                opened = (row.box, system.open_output_stream(files[-1][0]))
+            opened[1].write(bytes(row.raw))
+        if opened is not None:
+            opened[1].close()
+        return _Written(files)
+
+    def commit(self, messages):
+        system, _ = self._system()
+        for message in messages:
+            for temporary, last in message.files if message else []:
+                system.move(temporary, last)
+
+    def abort(self, messages):
+        system, _ = self._system()
+        for message in messages:
+            for temporary, _last in message.files if message else []:
+                system.delete_file(temporary)
 
 
 def register(spark: SparkSession) -> None:

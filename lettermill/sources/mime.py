@@ -139,6 +139,49 @@ def _read(rows: DataFrame, f: Callable[..., str | None], columns: list[str]) ->
     return rows.mapInArrow(run, schema)
 
 
+def composed(parts: DataFrame) -> DataFrame:
+    """Messages (msg_no, raw) put together from parts (msg_no, part_no, ctype, payload), in order, each in base64."""
+    import base64
+
+    def run(table: pa.Table) -> pa.Table:
+        out = [b"MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=part-of-this-mail\n"]
+        table = table.sort_by("part_no")
+        for ctype, payload in zip(table.column("ctype").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            out.append(b"--part-of-this-mail\nContent-Type: " + (ctype or "text/plain").encode() + b"\nContent-Transfer-Encoding: base64\n\n" + base64.encodebytes(payload or b""))
+        return pa.table({"msg_no": pa.array([table.column("msg_no")[0].as_py()], pa.int64()), "raw": pa.array([b"\n".join([*out, b"--part-of-this-mail--\n"])], pa.binary())})
+
+    return parts.select(F.col("msg_no").cast("long"), "part_no", "ctype", "payload").groupBy("msg_no").applyInArrow(run, "msg_no long, raw binary")
+
+
+def to_rtf(text: Column) -> Column:
+    """A text as the bytes of an RTF document; characters beyond ASCII by their numbers, those beyond 16 bits as they are."""
+    plain = F.regexp_replace(text, r"([\\\\{}])", r"\\$1")
+    ends = F.regexp_replace(F.regexp_replace(plain, "\n", r"\\par "), "\r", r"\\\r")
+    return F.encode(F.concat(F.lit(r"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\info{\title none}}"), ends, F.lit("}")), "UTF-8")
+
+
+def to_docx(texts: DataFrame) -> DataFrame:
+    """Rows (doc_id, payload) of texts (doc_id, text): a DOCX with a paragraph of one run for each line."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                xml = "".join(f"<w:p><w:r><w:t xml:space='preserve'>{line.replace('<', ' ').replace('>', ' ')}</w:t></w:r></w:p>" for line in text.split("\n"))
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w", zipfile.ZIP_STORED) as z:
+                    z.writestr("word/document.xml", f"<w:document><w:body>{xml}</w:body></w:document>")
+                out.append(data.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "payload"])
+
+    return texts.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, payload binary")
+
+
+def read_as(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (doc_id, text) of attachments (doc_id, payload) of one kind; what cannot be read is null."""
+    return _read(rows.select("doc_id", "payload"), READERS[kind], ["payload"]).select("doc_id", "text")
+
+
 def candidates(parts: DataFrame) -> DataFrame:
     """Rows (msg_no, cand_no, text): the texts of each message from its parts (msg_no, part_no, ctype, charset, fname, disp, payload).
 
@@ -152,10 +195,9 @@ def candidates(parts: DataFrame) -> DataFrame:
     base = parts.withColumns({"ctype": ctype, "charset": repaired_charset(F.col("charset")), "kind": attachment_kind(F.col("ctype"), F.col("fname"))})
     inline = F.col("ctype").startswith("text/") & (F.coalesce(F.col("disp"), F.lit("")) != "attachment")
     texts = _read(base.where(inline).select("msg_no", "part_no", "ctype", "charset", "payload"), decode_mixed, ["payload", "charset"]).select("msg_no", "part_no", "ctype", decode_numeric(F.col("text")).alias("text")).where("text is not null")
-    texts = cut(texts)  # read several times below, decoded once
-    texts = texts.withColumn("html", is_html(F.col("text"), F.col("ctype"))).withColumn("pid", F.concat_ws("/", "msg_no", "part_no"))
+    texts = cut(texts.withColumn("html", is_html(F.col("text"), F.col("ctype"))).withColumn("pid", F.concat_ws("/", "msg_no", "part_no")))  # read several times below, decoded once
     visible = html_to_text(texts.where("html").withColumn("text", cut_head(F.col("text"))), "pid", "text").select(F.col("id").alias("pid"), F.col("text").alias("visible"))
-    texts = texts.join(visible, "pid", "left").withColumn("text", F.when(F.col("html"), F.coalesce("visible", F.lit(""))).otherwise(F.col("text")))
+    texts = cut(texts.join(visible, "pid", "left").withColumn("text", F.when(F.col("html"), F.coalesce("visible", F.lit(""))).otherwise(F.col("text"))))  # HTML is read once
     whole = Window.partitionBy("msg_no")
     upto = whole.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = texts.select("msg_no", "part_no", "html", (F.col("ctype") == "text/plain").alias("plain"), "text", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("binary").alias("payload"))

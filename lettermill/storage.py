@@ -20,11 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._lettermill_dir
 
 
+def fresh_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, as a full URI, that clear() will delete."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lettermill-{uuid.uuid4().hex}")
+    path = full_uri(spark, place)
+    spark.__dict__.setdefault("_lettermill_tables", []).append(path)
+    return path
+
+
+def full_uri(spark: SparkSession, place) -> str:
+    """A Hadoop path with its scheme, in the form that pyarrow reads too."""
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write a table in the shared folder and read it back, so that later steps survive the loss of any executor."""
-    path = f"{shared_dir(df.sparkSession)}/lettermill-{uuid.uuid4().hex}"
+    """Write a table in the shared folder and read it back, so that later steps neither repeat what made it nor depend on executors that may be lost."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    df.sparkSession.__dict__.setdefault("_lettermill_tables", []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -62,7 +62,7 @@ def parsed(rows: DataFrame) -> DataFrame:
     """Adds name, args (array of strings) and numbers (array of longs) of each frame, as its command has them.
 
     OptNeg has three numbers; Connect a host, a family and an address, and the port as number; Macro the command it
-    precedes and names and values in turn; MailFrom and RcptTo an address and its parameters; Header a name and a
+    precedes and names and values in turn; MailFrom and RcptTo an address without angles and its parameters; Header a name and a
     value; Helo one string; others none. Unknown commands have a null name.
     """
     p, cmd = F.col("payload"), F.col("cmd")
@@ -73,7 +73,8 @@ def parsed(rows: DataFrame) -> DataFrame:
     # host, NUL, family, and except for family U: two bytes of port, address, NUL
     connect = F.array(host, F.substr(text, behind, F.lit(1)), F.substring_index(F.substr(text, behind + F.when(F.substr(text, behind, F.lit(1)) == "U", 1).otherwise(3)), "\u0000", 1))
     args = (
-        F.when(cmd.isin("M", "R", "L"), _strings(p)).when(cmd == "H", F.array(F.rtrim(F.regexp_replace(text, "\u0000$", "")))).when(cmd == "C", connect)
+        F.when(cmd.isin("M", "R"), F.transform(_strings(p), lambda x, i: F.when(i == 0, canonical(x)).otherwise(x)))
+        .when(cmd == "L", _strings(p)).when(cmd == "H", F.array(F.rtrim(F.regexp_replace(text, "\u0000$", "")))).when(cmd == "C", connect)
         .when(cmd == "D", F.concat(F.array(F.substr(text, F.lit(1), F.lit(1))), _strings(F.substr(p, F.lit(2))))).otherwise(F.array().cast("array<string>"))
     )
     port = F.conv(F.hex(F.substr(p, behind + 1, F.lit(2))), 16, 10).cast("long")
@@ -99,8 +100,13 @@ def skipped(callbacks: list[str]) -> int:
     return mask & ALL_CALLBACKS
 
 
-def reply(cmd: Column) -> Column:
-    """What is answered to a command that has no handler of its own: nothing to Macro and Abort, a close to Quit, else Continue."""
+def reply(cmd: Column, failure: Column | None = None) -> Column:
+    """What is answered to a command that has no handler of its own: nothing to Macro and Abort, a close to Quit, else Continue.
+
+    failure is null, or the kind of failure of a handler: TempFail is answered as such, PermFail by Reject.
+    """
+    if failure is not None:
+        return F.when(failure == "TempFail", "TempFail").when(failure == "PermFail", "Reject").otherwise(reply(cmd))
     return F.when(cmd.isin("D", "A"), F.lit(None).cast("string")).when(cmd == "Q", "close").when(cmd == "O", "OptNeg").otherwise("Continue")
 
 
@@ -119,11 +125,30 @@ def encode_action(action: str, name: str = "", value: str = "", index: int = 0)
         return code + struct.pack("!I", index) + name.encode() + b"\0" + value.encode() + b"\0"
     if action in ("AddRecipient", "DeleteRecipient"):
         return code + value.encode() + b"\0"
+    if action == "OptNeg":
+        raise ValueError("use encode_negotiation")
     if action == "CustomReply":
         return code + f"{name} {value}".encode() + b"\0"
     return code
 
 
+def encode_negotiation(actions_: int, protocol: int, can: int, skip: int) -> bytes:
+    """The reply frame's bytes to an OptNeg, without the length."""
+    return b"O" + struct.pack("!III", VERSION, actions_ & can, protocol & skip)
+
+
+def encode_actions(listed: list[tuple[str, str | None, str | None]], can: int = 63) -> bytes:
+    """The frames of a list of actions (action, name, value), each with its length. An action that was not negotiated raises; the list is closed by Continue."""
+    out = []
+    for action, name, value in listed if listed and listed[-1][0] == "Continue" else [*listed, ("Continue", None, None)]:
+        need = ACTIONS.get("AddHeader" if action == "InsertHeader" else action)
+        if need is not None and not can & need:
+            raise ValueError(f"{action} was not negotiated")
+        frame = encode_action(action, name or "", value or "")
+        out.append(struct.pack("!I", len(frame)) + frame)
+    return b"".join(out)
+
+
 def allowed(action: Column, can: Column) -> Column:
     """Whether the capability that an action needs is among the bits."""
     need = F.when(action.isin("AddHeader", "InsertHeader"), ACTIONS["AddHeader"])
@@ -228,4 +253,4 @@ def start_verdicts(messages: DataFrame, score, sink, checkpoint: str, **trigger)
 def logged_headers(rows: DataFrame) -> DataFrame:
     """Rows (conn_id, seq, header, value) of the two headers that are logged as they pass: X-Grey-ng and From."""
     frames_ = parsed(rows.where("cmd = 'L'"))
-    return frames_.select("conn_id", "seq", F.col("args")[0].alias("header"), F.try_element_at("args", F.lit(2)).alias("value")).where(F.col("header").isin("X-Grey-ng", "From"))
+    return frames_.select("conn_id", "seq", F.get("args", F.lit(0)).alias("header"), F.try_element_at("args", F.lit(2)).alias("value")).where(F.col("header").isin("X-Grey-ng", "From"))

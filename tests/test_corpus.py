@@ -131,3 +131,34 @@ def test_greedy_near_dedup_settles_long_chains(spark, monkeypatch):
     # a part at a time
     monkeypatch.setattr(corpus, "SETTLE", 3000)
     assert {r.id: (r.seen, r.kept) for r in corpus.near_dedup_greedy(df, "id", "tokens").where("id <> 902").collect()} == want
+
+
+def test_large_and_small_vocabularies_agree(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["b", None, "x", "a", "b", "ccc"]), (2, None), (3, []), (4, ["x"])], SCHEMA)
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("ccc", 3), (None, 4)], "token string, id int")
+    rows = lambda d: {r.id: (r.tokens, r.ids) for r in d.collect()}
+    small = rows(corpus.known_tokens(df, "id", "tokens", vocab))
+    assert small == {1: (["b", "a", "b", "ccc"], [2, 1, 2, 3]), 2: ([], []), 3: ([], []), 4: ([], [])}
+    assert rows(corpus.known_tokens(df, "id", "tokens", vocab, minlen=2))[1] == (["ccc"], [3])
+    assert rows(corpus.known_tokens(df, "id", "tokens", vocab.limit(0)))[1] == ([], [])
+    monkeypatch.setattr(corpus, "VOCABULARY", 1)
+    assert rows(corpus.known_tokens(df, "id", "tokens", vocab)) == small
+
+
+def test_first_of_each_text(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (5, None), (4, ""), (6, "b")], "id long, t string")
+    assert sorted(r.id for r in corpus.first_of_each(df, "t", "id").collect()) == [1, 2, 4, 6]
+    assert corpus.first_of_each(df.limit(0), "t", "id").count() == 0
+
+
+def test_lines_that_comparisons_leave_out(spark):
+    ignored = compare.IGNORED.split(" ")
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["x", *ignored, "y"]), (3, ["a", "b"]), (4, []), (5, None), (6, ["c"])], "n long, t array<string>")
+    assert sorted(r.n for r in compare.comparable(df, "t", "n").collect()) == [1, 4, 6]
+
+
+def test_shuffle_has_every_place_once(spark):
+    df = spark.range(500)
+    rows = corpus.shuffled(df, "id", 3).collect()
+    assert sorted(r.position for r in rows) == list(range(1, 501)) and [r.id for r in sorted(rows, key=lambda r: r.position)] != list(range(500))
+    assert {r.id: r.position for r in rows} != {r.id: r.position for r in corpus.shuffled(df, "id", 4).collect()}

@@ -110,3 +110,38 @@ def test_charsets(spark):
     names = [None, "", "cp-850", "UTF8-x", "windows-874", "koi8-r"]
     got = spark.createDataFrame([(n,) for n in names], "c string").select(mime.repaired_charset(F.col("c"))).collect()
     assert [r[0] for r in got] == ["utf-8", "iso8859-2", "cp850", "utf-8", "cp874", "koi8-r"]
+
+
+def test_verdict_mailboxes(spark, tmp_path):
+    df = spark.createDataFrame([(1, b"From a\n\nx\n", "ham-1"), (2, b"From b\n\ny\n", "spam/99"), (3, b"From c\n\nz\n", "ham-1"), (4, b"From d\n", None)], "msg_no long, raw binary, verdict string")
+    for _ in range(2):  # boxes grow
+        mbox.write_mailboxes(df, "verdict", str(tmp_path / "boxes"))
+    box = lambda name: sorted(m for p in (tmp_path / "boxes" / name).glob("*.mbox") for m in mbox.split_mbox(p.read_bytes()))
+    assert box("test_ham-1") == [b"From a\n\nx\n"] * 2 + [b"From c\n\nz\n"] * 2
+    assert box("test_spam_99") == [b"From b\n\ny\n"] * 2 and box("test_none") == [b"From d\n"] * 2
+    assert not list(tmp_path.glob("boxes/**/_*"))
+
+
+def test_zstd_score_log(spark, tmp_path):
+    df = spark.createDataFrame([(5, ["a", "b"]), (100, ["c"]), (7, [])], "s int, t array<string>")
+    for _ in range(2):
+        lines.append_score_log(df, "s", "t", str(tmp_path / "log"), "zstd")
+    rows = lines.read_score_log(spark, str(tmp_path / "log"), "zstd").collect()
+    assert sorted((r.score, r.tokens) for r in rows) == sorted([(5, ["a", "b"]), (100, ["c"]), (7, [""])] * 2)
+
+
+def test_own_confusables(spark, tmp_path):
+    from lettermill.functions import text
+
+    (tmp_path / "map").write_text("ő\to\nß\tsz\nа\ta\n", encoding="utf-8")
+    table = lines.read_confusables(spark, str(tmp_path / "map"))
+    df = spark.createDataFrame([("fő straße, pаypal é",), ("plain",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.fold(F.col("t"), table)).collect()] == ["fo strasze, paypal ", "plain", None]
+    assert df.select(text.tokenize(F.col("t"), table)).first()[0] == ["fo", "strasze", "paypal"]
+
+
+def test_zeros_before_numbers(spark):
+    from lettermill.functions import text
+
+    df = spark.createDataFrame([("&#0000000000233; &#x00000000E9; &#039; &#00;",), ("&#99999999999999999999;",), ("&#12ab;",)], "t string")
+    assert [r[0] for r in df.select(text.decode_numeric(F.col("t"))).collect()] == ["é é &#039; &#00;", None, None]

@@ -55,3 +55,52 @@ def test_frames_and_parsers(spark):
     ok = spark.createDataFrame([("AddHeader", 1), ("AddHeader", 2), ("Accept", 0)], "a string, c int").select(milter.allowed(F.col("a"), F.col("c"))).collect()
     assert [r[0] for r in ok] == [True, False, True]
     assert spark.createDataFrame([("<a@b>",), ("<>",)], "a string").select(milter.canonical(F.col("a"))).collect()[0][0] == "a@b"
+
+
+def test_live_filter(spark, tmp_path):
+    import socket
+    import time
+
+    from lettermill.streaming import live
+
+    with socket.socket() as free:
+        free.bind(("127.0.0.1", 0))
+        port = free.getsockname()[1]
+    spool = tmp_path / "spool"
+    spool.mkdir()
+    stream = live.listen(spark, port=str(port), spool=str(spool), hold="60")
+    score = lambda batch: batch.withColumn("verdict", F.concat(F.lit("ham "), F.col("size"), F.lit("%")))
+    query = milter.start_verdicts(milter.assembled(stream), score, lambda batch, _: live.answer(batch, str(spool)), str(tmp_path / "cp"), processingTime="0 seconds")
+    try:
+        for _ in range(600):
+            try:
+                conn = socket.create_connection(("127.0.0.1", port), timeout=90)
+                break
+            except OSError:
+                time.sleep(0.1)
+        with conn, conn.makefile("rb") as back:
+            def ask(cmd: bytes, payload: bytes = b"", answers: int = 1) -> list[bytes]:
+                conn.sendall(struct.pack("!I", len(payload) + 1) + cmd + payload)
+                return [back.read(struct.unpack("!I", back.read(4))[0]) for _ in range(answers)]
+
+            assert ask(b"O", struct.pack("!III", 2, 63, 127)) == [b"O" + struct.pack("!III", 2, 1, 0)]
+            ask(b"D", b"Cj\0mx\0", 0)
+            assert ask(b"M", b"<a@b.test>\0") == ask(b"L", b"From\0a\0") == ask(b"N") == ask(b"B", b"hello") == [b"c"]
+            assert ask(b"E", answers=3) == [b"hX-Mail-Verdict\0ham 5%\0", b"a", b"c"]
+            ask(b"Q", answers=0)
+        assert not list(spool.iterdir())
+    finally:
+        query.stop()
+
+
+def test_replies(spark):
+    import pytest
+
+    assert milter.encode_negotiation(63, 127, 1, 5) == b"O" + struct.pack("!III", 2, 1, 5)
+    assert milter.encode_actions([("Accept", None, None)]) == b"\0\0\0\1a\0\0\0\1c"
+    with pytest.raises(ValueError, match="not negotiated"):
+        milter.encode_actions([("ChangeHeader", "a", "b")], can=1)
+    df = spark.createDataFrame([("L", None), ("L", "TempFail"), ("B", "PermFail"), ("D", None)], "c string, f string")
+    assert [r[0] for r in df.select(milter.reply(F.col("c"), F.col("f"))).collect()] == ["Continue", "TempFail", "Reject", None]
+    rows = spark.createDataFrame([("c", 0, "M", b"<a@b.test>\0SIZE=1\0"), ("c", 1, "R", b"<>\0"), ("c", 2, "M", b"")], milter.FRAME)
+    assert [r.args for r in milter.parsed(rows).orderBy("seq").collect()] == [["a@b.test", "SIZE=1"], ["<>"], []]
