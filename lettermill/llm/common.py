@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import cut, fresh_path
+
+__all__ = ["cut", "fresh_path", "hinted", "is_plain", "map_arrow", "small", "table"]
+
 #: Tables whose rows take long to work on, so that a single small file should not be one task.
 WORKED = {"documents", "mail_corpus", "score_log", "mime_parts"}
 #: Bytes of the rows that a Python function is given at a time.
@@ -30,38 +32,6 @@ def is_plain(ctype: str = "ctype"):
     return F.lower(F.trim(F.substring_index(F.col(ctype), ";", 1))) == "text/plain"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one's own is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = getattr(spark, "_lettermill_dir", None)
-    if own is None:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        own = spark._lettermill_dir = "file://" + tempfile.mkdtemp(prefix="lettermill-")
-    return own
-
-
-def fresh_path(spark: SparkSession) -> str:
-    """A new place in the shared folder, as a full URI, that clear() will delete."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lettermill-{uuid.uuid4().hex}")
-    path = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
-    path = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-    spark.__dict__.setdefault("_lettermill_llm_tables", []).append(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table in the shared folder and read it back: later steps neither repeat nor depend on what made it.
-
-    Unlike a local checkpoint it survives the loss of any executor.
-    """
-    path = fresh_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply f to slices of about a megabyte of each Arrow batch; it returns the columns of schema as arrays."""
 
@@ -82,10 +52,3 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
 def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
     """The table, marked for broadcast if its counted size allows that; else joins shuffle it."""
     return F.broadcast(df) if small(df, row_bytes) else df
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete the tables that this session's cuts have written; results that still depend on them can no longer be read."""
-    for path in spark.__dict__.pop("_lettermill_llm_tables", []):
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
