@@ -96,12 +96,15 @@ def test_spans(spark, data, odd_docs, none):
             assert share[i] == len(covered)
     assert p10_spans.sharing_documents(none).count() == p10_spans.shared_share(none).count() == 0
     hot = spark.createDataFrame([(i, f"{i} " * 30 + "shared passage that is long enough to be found everywhere. " * 4 + f" {i * 7}" * 30) for i in range(40)] + [(99, "alone " * 50)], "doc_id long, text string")
-    before, p10_spans.GROUP_PLACES = p10_spans.GROUP_PLACES, 5
+    want = {tuple(r) for r in p10_spans.shared_spans(hot).collect()}
+    assert {r[0] for r in want} == set(range(40))
+    before = p10_spans.GROUP
     try:
-        assert {r.doc_id for r in p10_spans.sharing_documents(hot).collect()} == set(range(40))
-        assert p10_spans.shared_share(hot).where("shared_chars >= 236").count() == 40
+        for p10_spans.GROUP in (3, 30):
+            assert {r.doc_id for r in p10_spans.sharing_documents(hot).collect()} == set(range(40))
+            assert {tuple(r) for r in p10_spans.shared_spans(hot).collect()} == want
     finally:
-        p10_spans.GROUP_PLACES = before
+        p10_spans.GROUP = before
     # a text that repeats only itself shares nothing; a copy of it does
     assert p10_spans.sharing_documents(odd_docs).count() == 0
     assert {r.doc_id for r in p10_spans.sharing_documents(odd_docs.unionByName(odd_docs.where("doc_id = 3").withColumn("doc_id", F.lit(9).cast("long")))).collect()} == {3, 9}
