@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
+from .tokensets import distinct
 
 #: Maximal runs of letters and digits.
 WORD = re.compile(r"[^\W_]+")
@@ -143,13 +144,13 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
     """A function from texts to triples (number of the text, item id, whether a window is held without any edit)."""
     vocabulary: dict[str, int] = {}
     sequences = [(i, np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], np.uint32)) for i, text in items]
-    views = [(i, np.lib.stride_tricks.sliding_window_view(s, width)) for i, s in sequences if len(s) >= width]
+    views = [(k, np.lib.stride_tricks.sliding_window_view(s, width)) for k, (_, s) in enumerate(sequences) if len(s) >= width]
     tables = tables_for(recall, edits, sampled, width)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     if not views:
         return lambda texts: none
     item_windows = np.concatenate([v for _, v in views])
-    item_of = np.concatenate([np.full(len(v), i, np.int64) for i, v in views])
+    item_number, item_ids = np.concatenate([np.full(len(v), k, np.int64) for k, v in views]), np.array([i for i, _ in sequences], np.int64)
     item_keys = embed(item_windows, tables, sampled, seed)
     sorts = [np.argsort(k, kind="stable") for k in item_keys]
     sorted_keys = [k[o] for k, o in zip(item_keys, sorts, strict=True)]
@@ -192,14 +193,16 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
             lo, hi = (np.searchsorted(sorted_keys[t], keys[t][some], side=s) for s in ("left", "right"))
             count = hi - lo
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            pairs.append(np.stack((np.repeat(some, count), sorts[t][np.repeat(lo, count) + step])))
-        window, item_window = np.unique(np.concatenate(pairs, 1), axis=1) if tables > 1 else pairs[0]
+            # a pair is one number, which sorts many times faster than two
+            pairs.append(np.repeat(some, count) * np.int64(len(item_windows)) + sorts[t][np.repeat(lo, count) + step])
+        pair = distinct(np.concatenate(pairs))
+        window, item_window = pair // len(item_windows), pair % len(item_windows)
         same = (windows[window] == item_windows[item_window]).all(1)
         whole = same.copy()
         if edits:
             doc = np.searchsorted(ends, at[window], side="right")
-            _, pair = np.unique(np.stack((doc, item_of[item_window])), axis=1, return_inverse=True)
-            left = np.flatnonzero(~np.isin(pair, pair[same]))
+            pair = doc * np.int64(len(sequences)) + item_number[item_window]
+            left = np.flatnonzero(~np.isin(pair, distinct(pair[same])))
             reach = np.arange(-edits, width + edits)
             for part in np.array_split(left, len(left) // PAIRS + 1):
                 place = at[window[part]][:, None] + reach
@@ -208,9 +211,10 @@ def finder(items: list[tuple[int, str]], width: int, edits: int, sampled: int, r
                 same[part] = hold(regions, item_windows[item_window[part]], edits)
         doc = np.searchsorted(ends, at[window[same]], side="right")
         # of each pair the best comes first
-        found = np.unique(np.stack((doc, item_of[item_window[same]], ~whole[same])), axis=1)
-        first = np.concatenate(([True], (found[:2, 1:] != found[:2, :-1]).any(0))) if found.shape[1] else np.zeros(0, bool)
-        return found[0, first], found[1, first], found[2, first] == 0
+        found = distinct((doc * np.int64(len(sequences)) + item_number[item_window[same]]) * 2 + ~whole[same])
+        pair = found >> 1
+        first = np.concatenate(([True], pair[1:] != pair[:-1])) if len(pair) else np.zeros(0, bool)
+        return pair[first] // len(sequences), item_ids[pair[first] % len(sequences)], found[first] & 1 == 0
 
     return find
 
