@@ -11,7 +11,7 @@ import numpy as np
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first `depth` symbols at least (ties by position), by prefix doubling."""
+    """Suffixes by their first `depth` symbols at least by prefix doubling."""
     n = len(symbols)
     rank = symbols.astype(np.int64)
     width = max(1, int(rank.max(initial=0)).bit_length())
@@ -22,7 +22,7 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
         rank = (rank << (have * width)) | shifted
         have *= 2
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         in_order = rank[order]
         fresh = np.empty(n, np.int64)
         fresh[order] = np.cumsum(np.concatenate(([0], in_order[1:] != in_order[:-1]))) if n else 0
@@ -138,18 +138,19 @@ def backward(index: FMIndex, query: np.ndarray, end: np.ndarray, floor: np.ndarr
     return at, lo, hi
 
 
-def maximal_matches(index: FMIndex, query: np.ndarray, starts: np.ndarray, least: int, accept: Callable | None = None) -> tuple[np.ndarray, ...]:
+def maximal_matches(index: FMIndex, query: np.ndarray, starts: np.ndarray, least: int, accept: Callable | None = None, first: bool = False) -> tuple[np.ndarray, ...]:
     """Rows (lane, start, end, lo, hi): the matches of at least `least` symbols of each text of a query that can be longer on neither side.
 
     texts are query[starts[k]:starts[k + 1]]. Matching statistics are taken from right ends: if the longest match that
     ends in e starts in s and is too short, no long enough one ends before s + least. Of a long enough one the right end
-    is sought by doubling steps and then by halving; the next match ends behind it. accept(lanes, lo, hi) as in backward().
+    is first sought at the text's end and then by halving; the next match ends behind it. accept(lanes, lo, hi) as in
+    backward(). With first a text is left at its first match, as it stands, which may go on to the right.
     """
     lanes = np.flatnonzero(np.diff(starts) >= least)
     bottom, top = starts[:-1], starts[1:]
     end = bottom + least
     begin = np.full(len(bottom), -1)  # start of the match whose right end is being sought; -1: none
-    low, high, step = (np.zeros(len(bottom), np.int64) for _ in range(3))
+    low, high = np.zeros(len(bottom), np.int64), np.zeros(len(bottom), np.int64)
     best_lo, best_hi = np.zeros(len(bottom), np.int64), np.zeros(len(bottom), np.int64)
     out: list[tuple[np.ndarray, ...]] = []
     while len(lanes):
@@ -161,7 +162,13 @@ def maximal_matches(index: FMIndex, query: np.ndarray, starts: np.ndarray, least
         mine, e = lanes[hit], end[lanes[hit]]
         best_lo[mine], best_hi[mine], low[mine] = lo[hit], hi[hit], e
         fresh = mine[~sought[hit]]
-        begin[fresh], high[fresh], step[fresh] = at[hit][~sought[hit]], top[fresh] + 1, 1
+        begin[fresh], high[fresh] = at[hit][~sought[hit]], top[fresh] + 1
+        if first:
+            out.append((fresh, begin[fresh], low[fresh], best_lo[fresh], best_hi[fresh]))
+            end[lanes[~hit]] = at[~hit] + least
+            lanes = lanes[~hit]
+            lanes = lanes[end[lanes] <= top[lanes]]
+            continue
         # a miss behind a match bounds its right end; any other one leads on to the next end that can be long enough
         bound = lanes[~hit & sought]
         high[bound] = end[bound]
@@ -172,9 +179,7 @@ def maximal_matches(index: FMIndex, query: np.ndarray, starts: np.ndarray, least
         out.append((whole, begin[whole], low[whole], best_lo[whole], best_hi[whole]))
         begin[whole], end[whole] = -1, low[whole] + 1
         more = active[high[active] - low[active] > 1]
-        wide = high[more] > top[more]
-        end[more] = np.where(wide, np.minimum(low[more] + step[more], top[more]), (low[more] + high[more]) // 2)
-        step[more] *= 2
+        end[more] = np.where(high[more] > top[more], top[more], (low[more] + high[more]) // 2)
         lanes = lanes[end[lanes] <= top[lanes]]
     found = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
     order = np.lexsort((found[1], found[0]))

@@ -75,10 +75,10 @@ def _surroundings(docs: DataFrame, places: DataFrame, id_col: str, text_col: str
     return each.select("fp", "ctx", "a", "b", "off", text.alias("text"))
 
 
-def shared_stretches(a: np.ndarray, b: np.ndarray, texts: list[str], own: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared_stretches(a: np.ndarray, b: np.ndarray, texts: list[str], own: np.ndarray, span: int, first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) of the maximal matches, of a span or more, of each text in those that are own and stand in another record.
 
-    Text k stands in the records a[k] to b[k]: in one only if these are the same.
+    Text k stands in the records a[k] to b[k]: in one only if these are the same. With first, only whether there is one.
     """
     indexed = np.flatnonzero(own)
     symbols, starts = code_points([texts[k] for k in indexed.tolist()])
@@ -86,7 +86,7 @@ def shared_stretches(a: np.ndarray, b: np.ndarray, texts: list[str], own: np.nda
     # each text is followed by a separator
     body = np.zeros(len(symbols) + len(indexed), np.int64)
     body[np.arange(len(symbols)) + np.repeat(np.arange(len(indexed)), np.diff(starts))] = dense + 1
-    index = FMIndex(body, len(used) + 1, int(np.diff(starts).max(initial=0)) + 1)
+    index = FMIndex(body, len(used) + 1, span if first else int(np.diff(starts).max(initial=0)) + 1)
     record = np.unique(a, return_inverse=True)[1]
     record = np.where(a < b, -1, record)  # what stands in several records is another record's for all
     owner = np.repeat(record[indexed], np.diff(starts) + 1)[index.sa]
@@ -97,7 +97,7 @@ def shared_stretches(a: np.ndarray, b: np.ndarray, texts: list[str], own: np.nda
     found = np.minimum(np.searchsorted(used, query), max(0, len(used) - 1))
     query = np.where(used[found] == query, found + 1, 0) if len(used) else np.zeros(len(query), np.int64)
     accept = lambda lane, lo, hi: (owner[lo] != record[lane]) | (owner[lo] < 0) | (other[lo] < hi)
-    lane, start, end, _, _ = maximal_matches(index, query, places, span, accept)
+    lane, start, end, _, _ = maximal_matches(index, query, places, span, accept, first)
     return lane, start - places[lane], end - places[lane]
 
 
@@ -156,14 +156,14 @@ def _placed(rows: DataFrame, span: int) -> DataFrame:
     return out.unionByName(asked).unionByName(pairs.select(*columns, F.lit(True).alias("own"), F.lit(False).alias("ask")))
 
 
-def _search(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, span: int) -> DataFrame:
+def _search(docs: DataFrame, places: DataFrame, id_col: str, text_col: str, span: int, first: bool = False) -> DataFrame:
     """Rows (fp, ctx, start, end): what other records share of the text around a fingerprint, by places relative to it."""
     rows = _placed(cut(_surroundings(docs, places, id_col, text_col, span)), span)
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
         a, b, off, own, ask = (table.column(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "off", "own", "ask"))
-        lane, start, end = shared_stretches(a, b, table.column("text").to_pylist(), own, span)
+        lane, start, end = shared_stretches(a, b, table.column("text").to_pylist(), own, span, first)
         keep = ask[lane]
         lane, start, end = lane[keep], start[keep], end[keep]
         again = pa.array(lane)
@@ -219,10 +219,17 @@ def sharing_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Rows (doc_id): records that hold a run of `span` or more code points that stands verbatim in another record.
 
     Null ids and null, empty or shorter texts give no row; rows with one id count as one record; extra columns
-    are ignored. The text around a fingerprint goes through the index once for all records in which it is the same.
+    are ignored. The text around a fingerprint goes through the index once for all records in which it is the same, and
+    one such text is enough for a record that shares it with another; the other records' texts all go through it.
     """
     places = shared_places(docs, id_col, text_col, span)
-    found = _search(docs, places, id_col, text_col, span).select("fp", "ctx").distinct()
+    several = places.groupBy("fp", "ctx").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b and ctx & 1 = 1").select("fp", "ctx")
+    within = cut(places.join(several, ["fp", "ctx"]).select("doc", "fp", "ctx"))
+    one = cut(within.groupBy("doc").agg(F.min("fp").alias("fp")))
+    enough = within.join(one, ["doc", "fp"]).select("fp", "ctx").distinct()
+    rest = places.join(one.select("doc"), "doc", "left_anti").select("fp").distinct()
+    places = cut(places.join(rest, "fp", "left_semi").unionByName(places.join(enough, ["fp", "ctx"], "left_semi")).distinct())
+    found = _search(docs, places, id_col, text_col, span, True).select("fp", "ctx").distinct()
     return places.join(found, ["fp", "ctx"], "left_semi").select(F.col("doc").alias("doc_id")).distinct()
 
 
