@@ -326,9 +326,14 @@ def build(samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return Model(found)
 
 
-def repair(model: Model, texts: list[str]) -> list[tuple[int, str | None, str, bool]]:
-    """For each garbled text: its number, the text with every line restored that can be, the chains, and whether all lines were."""
+def repair(model: Model, texts: list[str], thorough: bool = True) -> list[tuple[int, str | None, str, bool]]:
+    """For each garbled text: its number, the text with every line restored that can be, the chains, and whether all lines were.
+
+    Unless thorough, lines whose letters are all in use in one language are taken for clean.
+    """
     number, start, end, explained, own = model.accented(texts)
+    if not thorough:
+        number, start, end, own, explained = (x[~explained] for x in (number, start, end, own, explained))
     spans = list(zip(number.tolist(), start.tolist(), end.tolist(), strict=True))
     # greetings and the like stand in many texts; each different line is judged once
     different = {texts[n][a:b]: k for k, (n, a, b) in enumerate(spans)}
@@ -356,9 +361,9 @@ def repair(model: Model, texts: list[str]) -> list[tuple[int, str | None, str, b
 
 
 def readable(model: Model, texts: list[str]) -> list[str]:
-    """Garbled texts restored where that keeps their lines, for operators that look for words."""
+    """Garbled texts restored where that keeps their lines, for operators that look for words: a line that could as well be clean stays."""
     out = list(texts)
-    for number, fixed, _, _ in repair(model, texts):
+    for number, fixed, _, _ in repair(model, texts, False):
         if fixed is not None and fixed.count("\n") == texts[number].count("\n"):
             out[number] = fixed
     return out
