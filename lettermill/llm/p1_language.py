@@ -181,7 +181,8 @@ def classify(model: Model, s: dict[str, np.ndarray]) -> np.ndarray:
     return np.add.reduceat(phrases, np.cumsum(blocks) - blocks, axis=1) if len(blocks) else phrases
 
 
-#: A sentence of fewer letters, or of a smaller lead over the second language, takes the language of what stands around it.
+#: A sentence of fewer letters, or of a smaller lead over the second language, has no vote in a text that has clearer ones: greetings,
+#: names and sign-offs would else make passages.
 LEAST_LETTERS, LEAST_LEAD = 18, 0.12
 
 

@@ -140,8 +140,11 @@ def numbers(flat: str, low: str, taken: list[tuple[str, int, int]]) -> list[tupl
     return out
 
 
-def units(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[list[tuple[str, int, int]], str, str, bool]]:
-    """Groups of capitalised words of one line: the words with their places, the word before, the mark behind, and whether a sentence starts there."""
+def units(text: str, taken: list[tuple[str, int, int]], names: frozenset[str] = frozenset()) -> list[tuple[list[tuple[str, int, int]], str, str, bool]]:
+    """Groups of capitalised words of one line: the words with their places, the word before, the mark behind, and whether a sentence starts there.
+
+    The first of several words before an exclamation mark, comma or colon is a greeting's, unless it is among the names or stands behind a label.
+    """
     flat = text
     for kind, a, b in taken:
         if kind == "email":
@@ -154,7 +157,8 @@ def units(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[list[tuple
         before = flat[max(0, m.start() - 24) : m.start()].rsplit("\n", 1)[-1].rstrip()
         behind = flat[m.end() : m.end() + 2].strip()[:1]
         opens = not before or before[-1] in ".!?¡>:|/"
-        if opens and len(words) > 1 and behind in ("!", ",", ":"):
+        label = before[-1:] == ":" and before[-2:-1].isalpha()
+        if opens and not label and len(words) > 1 and behind in ("!", ",", ":") and fold(words[0][0]) not in names:
             before, words = words[0][0], words[1:]  # the word of a greeting
         out.append((words, (_WORDS_BEFORE.findall(before) or [before[-1:] or "^"])[-1], behind, opens))
     return out
@@ -299,7 +303,7 @@ def redact(text: str, names: frozenset[str], contexts: frozenset[str]) -> str:
     taken = forms(flat, low)
     spans = [(a, b, kind) for kind, a, b in taken]
     spans += [(a, b, "id_number") for _, context, a, b in numbers(flat, low, taken) if TRIGGER.search(context) or " ".join(context.split()[-2:]) in contexts]
-    for words, _, _, _ in units(text, taken):
+    for words, _, _, _ in units(text, taken, names):
         run: list[tuple[str, int, int]] = []
         for w in [*words, ("", 0, 0)]:
             if w[0] and (fold(w[0]) in names or (w[0][-1] == "." and run == [])):

@@ -296,3 +296,10 @@ def test_maximal_matches(text, texts, least):
                 if t[s:e] in text and not longer:
                     want.append((k, s, e, sum(text.startswith(t[s:e], i) for i in range(len(text)))))
     assert got == want
+
+
+def test_names_behind_labels_and_in_greetings_are_replaced():
+    names = frozenset({"kovacs", "zoltanne", "anna"})
+    redact = lambda t: p3_personal.redact(t, names, frozenset())
+    assert redact("Ügyintéző: Kovács Zoltánné, raktár") == "Ügyintéző: [NAME], raktár"
+    assert redact("Kovács Anna, kérem") == "[NAME], kérem" and redact("Kedves Anna!") == "Kedves [NAME]!" and redact(": Kedves Anna, ez") == ": Kedves [NAME], ez"
