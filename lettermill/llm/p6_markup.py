@@ -1,16 +1,20 @@
 """Markup residue: which kinds a document holds, and the document as clean text that keeps its structure.
 
-A line that a strong pattern matches is markup. Lines that only weak patterns match (list items, table rows, short
-formulas) are labelled by a minimum cut: they vote (terminal capacities) the stronger the more their neighbours go on
-like them, and neighbours pull each other along (smoothness edges), so that a lone dash or number is text and three
-dashes in a row are a list. The votes are set by hand, not fitted. In HTML, another cut separates blocks of content from boilerplate, with
-edges between neighbouring blocks and between blocks of the same parent element.
+A classifier of lines, fitted on texts into which markup and what looks like it were put, gives the terminal capacities
+of a minimum cut; neighbouring lines pull each other along (smoothness edges). A line with a strong pattern outweighs its
+edges. Lines that only weak patterns match (list items, table rows, short formulas) depend on their neighbours: by itself
+the first line of a list looks like the first of two dashes that are no list, and the cut decides for whole runs. In HTML,
+another cut separates blocks of content from boilerplate, with edges between neighbouring blocks and between blocks of the
+same parent element.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections.abc import Iterator
+from functools import cache
 from html.entities import html5
 
 import numpy as np
@@ -27,12 +31,6 @@ TAGS = "html|head|body|title|meta|link|base|style|script|noscript|div|p|span|br|
 _TAG = rf"</?(?:{TAGS}|[a-z]+:[a-z]+)\b(?:\s[^<>]*|\s*/?)>"
 _NAMES = frozenset(n[:-1] for n in html5 if n.endswith(";"))
 
-#: Votes for a line: a strong pattern, a weak one, and none at all; what a weak line gains from each neighbour that
-#: goes on like it. Set by hand: a run of three between other lines wins, a run of two does not.
-STRONG, WEAK, NONE = 6.0, -0.4, -1.0
-LIKE = 0.75
-SMOOTH = 0.8
-
 #: Strong and weak patterns of each kind.
 PATTERNS: dict[str, tuple[re.Pattern, re.Pattern | None]] = {
     "html": (re.compile(rf"(?i){_TAG}|<!--|<!\[|<!doctype|\]-->|&(?:#\d{{2,7}}|#x[0-9a-f]{{2,6}}|([a-z][a-z0-9]{{1,30}}));"), None),
@@ -121,41 +119,96 @@ def _alike(kind: str, a: str, b: str) -> bool:
     return True
 
 
+#: Runs of markup and runs that are none, from which the classifier learns: (pattern of a line, whether it is markup, lines of
+#: the run at least and at most). {n} counts up.
+RUNS = [
+    ("- {w}", True, 3, 8), ("{n}. {w}", True, 3, 8), ("| {w} | {w} |", True, 3, 6), ("* {w}", True, 3, 8), ("# {w}", True, 1, 1), ("**{w}** {w}", True, 1, 2),
+    ("- {w}", False, 1, 2), ("{n}. {w}", False, 1, 2), ("| {w}", False, 1, 5), ("* {w}", False, 1, 2), ("2{n}. 1. 1999", False, 1, 1), ("{w} - {w}", False, 1, 4), ("> {w}", False, 1, 4), ("--", False, 1, 1),
+]
+WORDS = "letter answer office order list delivery page table figure report meeting address number station garden window bottle paper".split()
+
+
+def _drawn(n: int, seed: int = 6) -> Iterator[tuple[list[str], list[bool]]]:
+    """Texts as lines, with the label of each: runs among plain lines."""
+    rng = random.Random(seed)
+    some = lambda: " ".join(rng.choices(WORDS, k=rng.randrange(1, 6)))
+    for _ in range(n):
+        lines, labels = [], []
+        for _ in range(rng.randrange(1, 4)):
+            for _ in range(rng.randrange(1, 4)):
+                lines.append(some().capitalize() + ".")
+                labels.append(False)
+            line, markup, least, most = rng.choice(RUNS)
+            for k in range(rng.randrange(least, most + 1)):
+                lines.append("".join(some() if x == "{w}" else str(k + 1) if x == "{n}" else x for x in re.split(r"(\{[wn]\})", line)))
+                labels.append(markup)
+        yield [*lines, some().capitalize() + "."], [*labels, False]
+
+
+def _features(kind: str, lines: list[str], weak: set[int], strong: set[int]) -> list[tuple[int, ...]]:
+    """Of each line: whether a strong pattern matches, a weak one, and whether one or both neighbours go on like it."""
+    like = [0] * (len(lines) + 1)
+    for k in range(len(lines) - 1):
+        if k in weak and k + 1 in weak and _alike(kind, lines[k], lines[k + 1]):
+            like[k] += 1
+            like[k + 1] += 1
+    return [(1, k in strong, k in weak, like[k] == 1, like[k] == 2) for k in range(len(lines))]
+
+
+@cache
+def costs() -> tuple[tuple[float, ...], float]:
+    """Weights of the features, by logistic regression on drawn texts, and the weight of an edge: of those tried the one whose cuts agree best with the labels."""
+    strong, weak = PATTERNS["markdown"]
+    texts = []
+    for lines, labels in _drawn(400):
+        texts.append((_features("markdown", lines, {k for k, x in enumerate(lines) if weak.search(x)}, {k for k, x in enumerate(lines) if strong.search(x)}), labels))
+    x, y = np.array([f for t, _ in texts for f in t], float), np.array([v for _, t in texts for v in t], float)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):  # Newton's method
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(w)), x.T @ (p - y) + 0.3 * w)
+    wrong = {}
+    for edge in (0.1, 0.3, 0.5, 0.8, 1.2, 1.6):
+        wrong[edge] = sum(a != b for t, labels in texts for a, b in zip(label((np.array(t) @ w).tolist(), [(k, k + 1, edge) for k in range(len(t) - 1)]), labels, strict=True))
+    return tuple(w.tolist()), min(wrong, key=wrong.get)
+
+
 def kinds(text: str) -> list[str]:
     """The kinds of markup in a text: html, markdown, wiki, latex."""
     out = []
     for kind, (strong, weak) in PATTERNS.items():
         if not any(x in text for x in _NEEDS[kind]) and (weak is None or not weak.search(text)):
             continue
-        # a strong line outweighs all its edges, so that only texts without one need the cut
-        if any(_counts(kind, text, m) for m in strong.finditer(text)) or (weak is not None and _together(kind, text, weak)):
+        weights, edge = costs()
+        # a line with a strong pattern that outweighs both its edges needs no cut
+        sure = weights[0] + weights[1] > 2 * edge
+        if (sure and any(_counts(kind, text, m) for m in strong.finditer(text))) or (weak is not None and any(labelled(kind, text))):
             out.append(kind)
     return out
 
 
-def _together(kind: str, text: str, weak: re.Pattern) -> bool:
-    """Whether weak lines win together: a minimum cut over the lines that are not blank, between two ends that are no markup."""
-    starts = sorted({text.rfind("\n", 0, m.start()) + 1 for m in weak.finditer(text)})
-    if len(starts) < 3:
-        return False
-    votes, lines, at = [NONE], [""], 0
-    some = set(starts)
+def labelled(kind: str, text: str) -> list[bool]:
+    """Which of the lines that are not blank are markup of that kind: a minimum cut over the lines, between two plain ones."""
+    strong, weak = PATTERNS[kind]
+    starts = {text.rfind("\n", 0, m.start()) + 1 for m in weak.finditer(text)} if weak is not None else set()
+    marked = {text.rfind("\n", 0, m.start()) + 1 for m in strong.finditer(text) if _counts(kind, text, m)}
+    if not starts and not marked:
+        return []
+    lines, weak_lines, strong_lines, at = [""], set(), set(), 0
     for line in text.split("\n"):
         if line.strip():
-            votes.append(WEAK if at in some else NONE)
+            if at in starts:
+                weak_lines.add(len(lines))
+            if at in marked:
+                strong_lines.add(len(lines))
             lines.append(line)
         at += len(line) + 1
-    votes.append(NONE)
     lines.append("")
-    for k in range(len(votes) - 1):
-        if votes[k] != NONE and votes[k + 1] != NONE and _alike(kind, lines[k], lines[k + 1]):
-            votes[k] += LIKE
-            votes[k + 1] += LIKE
+    weights, edge = costs()
+    votes = [sum(w * f for w, f in zip(weights, fs, strict=True)) for fs in _features(kind, lines, weak_lines, strong_lines)]
     if max(votes) <= 0:
-        return False
-    near = [k for k, v in enumerate(votes) if v != NONE or (k and votes[k - 1] != NONE) or (k + 1 < len(votes) and votes[k + 1] != NONE)]
-    edges = [(a, a + 1, SMOOTH) for a in range(len(near) - 1) if near[a + 1] == near[a] + 1]
-    return any(label([votes[k] for k in near], edges))
+        return [False] * (len(lines) - 2)
+    return label(votes, [(k, k + 1, edge) for k in range(len(lines) - 1)])[1:-1]
 
 
 def with_markup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

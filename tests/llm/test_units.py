@@ -303,3 +303,12 @@ def test_names_behind_labels_and_in_greetings_are_replaced():
     redact = lambda t: p3_personal.redact(t, names, frozenset())
     assert redact("Ügyintéző: Kovács Zoltánné, raktár") == "Ügyintéző: [NAME], raktár"
     assert redact("Kovács Anna, kérem") == "[NAME], kérem" and redact("Kedves Anna!") == "Kedves [NAME]!" and redact(": Kedves Anna, ez") == ": Kedves [NAME], ez"
+
+
+def test_the_cut_decides_about_weak_lines(monkeypatch):
+    texts = ["He said\n- a word\n- another\nand left", "Shopping:\n- one\n- two\n- three\nBye", "Sum\n| a | b |\n| 1 | 2 |\nBye"]
+    cut = [p6_markup.kinds(t) for t in texts]
+    assert cut == [[], ["markdown"], []]
+    # without the edges each line would go by its own vote
+    monkeypatch.setattr(p6_markup, "label", lambda votes, edges: [v > 0 for v in votes])
+    assert [p6_markup.kinds(t) for t in texts] == [["markdown"]] * 3
