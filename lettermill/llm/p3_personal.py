@@ -28,8 +28,7 @@ from .p5_encoding import readable, sent_model
 ROUNDS, WORD_SCORE, NUMBER_SCORE, LEAST_SEEN, LEAST_SHARE = 4, 0.35, 0.7, 3, 0.4
 
 FOLD = {cp: unicodedata.normalize("NFKD", chr(cp))[0].lower() for cp in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(cp))[0].isascii()} | {0xDF: "s", 0x2019: "'"}
-#: The same for the capitals of ASCII too.
-LOWER = FOLD | {cp: chr(cp + 32) for cp in range(65, 91)}
+_FOLDED = re.compile("[À-ɏ’]")
 #: What a line break and the quote marks behind it are turned into blanks by, so that places stay the same.
 BREAK = re.compile(r"\r?\n[ \t]*(?:(?:[A-Z]{1,3})?>[> \t]*|[|:](?=[ \t]))?")
 
@@ -83,7 +82,8 @@ def flatten(text: str) -> str:
 
 def fold(text: str) -> str:
     """Lower case without accents, of the same length."""
-    return text.lower() if text.isascii() else text.translate(LOWER)
+    # accented letters are few: they are replaced one by one, and the rest is lowered at once
+    return text.lower() if text.isascii() else _FOLDED.sub(lambda m: FOLD.get(ord(m[0]), m[0]), text).lower()
 
 
 def _around(pattern: re.Pattern, text: str, places: Iterable[tuple[int, int]], left: int, right: int) -> set[tuple[int, int]]:
