@@ -37,6 +37,14 @@ def _fold_table() -> dict[int, str]:
 
 
 FOLD = _fold_table()
+_FOLDED = re.compile("[À-ɏ‘’\xa0\r]")
+
+
+def folded_text(text: str) -> str:
+    """The same as translating by FOLD, but faster for texts with few such letters; lower case."""
+    return _FOLDED.sub(lambda m: FOLD.get(ord(m[0]), m[0]) or "", text).lower()
+
+
 
 #: Phrases of each language, without accents and in lower case: these are fixed values of the grammar.
 SIGN_OFFS = """
@@ -102,7 +110,7 @@ def _is_notice(paragraph: str) -> bool:
 def parse(lines: list[str], folded: list[str] | None = None, deep: bool = True) -> list[Node]:
     """The nodes of a message, in order; written text is left out. With deep the insides are parsed too."""
     if folded is None:
-        folded = "\n".join(lines).translate(FOLD).lower().split("\n")
+        folded = folded_text("\n".join(lines)).split("\n")
     nodes: list[Node] = []
     n, i, fresh = len(lines), 0, True  # fresh: at the start of a paragraph
     bare = [s.strip() for s in folded]
@@ -216,7 +224,7 @@ def _rest(lines: list[str], folded: list[str], k: int, deep: bool) -> list[Node]
 def old_lines(text: str) -> list[int]:
     """Numbers, from 1, of the lines of an e-mail that are not blank and not newly written."""
     lines = text.split("\n")
-    folded = (text if text.isascii() else text.translate(FOLD)).lower().split("\n")
+    folded = (text.lower() if text.isascii() else folded_text(text)).split("\n")
     out: list[int] = []
     for node in parse(lines, folded, deep=False):
         out += [k + 1 for k in range(node.start, node.end) if lines[k].strip()]
