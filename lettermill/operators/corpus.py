@@ -40,9 +40,9 @@ def first_of_each(rows: DataFrame, text: str, order: str) -> DataFrame:
 def shingles(rows: DataFrame, key: str, tokens: str, n: int = SHINGLE) -> DataFrame:
     """Rows (key, pos, h1, h2): every run of n tokens, as two 64-bit hashes."""
     size = F.size(tokens)
-    run = lambda i: F.struct(F.xxhash64(F.slice(tokens, i, n)).alias("h1"), F.xxhash64(F.lit(1), F.slice(tokens, i, n)).alias("h2"))
-    grams = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), run)).otherwise(F.array().cast("array<struct<h1:bigint,h2:bigint>>"))
-    return rows.select(key, F.posexplode(grams).alias("pos", "s")).select(key, "pos", "s.h1", "s.h2")
+    grams = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    # hashed behind the generator, where the text of a run is at hand once, and dropped before anything is shuffled
+    return rows.select(key, F.posexplode(grams).alias("pos", "_gram")).select(key, "pos", F.xxhash64("_gram").alias("h1"), F.xxhash64(F.lit(1), "_gram").alias("h2"))
 
 
 def _shared(grams: DataFrame, key: str) -> DataFrame:
@@ -62,7 +62,7 @@ def near_dedup(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     aggregate and a join, so that a shingle of very many rows is combined before it is shuffled.
     """
     rows = cut(rows.select(key, tokens))
-    grams = shingles(rows, key, tokens)
+    grams = cut(shingles(rows, key, tokens).drop("pos"))  # read twice
     seen = grams.join(_shared(grams, key), ["h1", "h2"]).where(F.col("first") < F.col(key)).groupBy(key).agg(F.count("*").alias("seen"))
     return rows.select(key, F.size(tokens).alias("size")).join(seen, key, "left").select(key, F.coalesce("seen", F.lit(0)).alias("seen"), (F.coalesce("seen", F.lit(0)) <= _limit(F.col("size"))).alias("kept"))
 
@@ -75,7 +75,7 @@ def near_dedup_greedy(rows: DataFrame, key: str, tokens: str) -> DataFrame:
     one task. At least the first open row is settled each time, so that chains of any length come to an end.
     """
     rows = cut(rows.select(key, tokens))
-    every = shingles(rows, key, tokens)
+    every = cut(shingles(rows, key, tokens).drop("pos"))
     numbered = cut(_shared(every, key).select("h1", "h2", F.monotonically_increasing_id().alias("shingle")))
     grams = cut(every.join(numbered, ["h1", "h2"]).groupBy(key, "shingle").agg(F.count("*").alias("n")))
     sizes = cut(rows.select(key, F.size(tokens).alias("size")))
