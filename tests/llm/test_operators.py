@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import itertools
 import random
 
@@ -9,6 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lettermill import storage
 from lettermill.llm import p1_language, p2_splits, p3_personal, p4_quotes, p5_encoding, p6_markup, p7_near, p8_packing, p9_leaks, p10_spans, queries, tokensets
 
 DOCS = "doc_id long, text string, lang string, source string, n_tok int, ctype string, doc int, fp int, rep int, kind int, size int, key int"
@@ -61,6 +63,20 @@ def test_small_shards_and_buckets_change_nothing(spark, data):
     assert split == whole
 
 
+def test_pairs_without_a_pass_over_every_shard(spark):
+    rng = random.Random(3)
+    held = [[f"t{rng.randrange(k % 4 * 20 + 3)}" for _ in range(rng.randrange(20, 60))] for k in range(60)]
+    train = [h[: k % 15] + [f"t{rng.randrange(9)}" for _ in range(k % 4)] + h[k % 15 + k % 3 :] for k, h in enumerate(held)]
+    rows = [(k, t, "train") for k, t in enumerate(train)] + [(1000 + k, h, "validation") for k, h in enumerate(held)] + [(2000, held[0], "train"), (2001, train[1], "validation")]
+    folder = storage.shared_dir(spark).removeprefix("file://")
+    shards = lambda: set(glob.glob(f"{folder}/*/shard=*"))
+    df, before = spark.createDataFrame(rows, "id long, tokens array<string>, split string"), shards()
+    for least in (0.5, 0.7, 1.0):
+        want = _jaccard_pairs([(i, t, s) for i, t, s in rows], least, lambda a, b: a != b)
+        assert {tuple(r) for r in p2_splits.overlaps(df, least, shard_tokens=100).collect()} == want and want
+    assert shards() == before
+
+
 def test_hot_group_of_copies(spark):
     rng = random.Random(1)
     base = [f"w{k}" for k in range(30)]

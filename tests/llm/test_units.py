@@ -251,6 +251,30 @@ def test_all_alike_records_are_found(symbols, size):
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and want
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.95, 1.0])
+@pytest.mark.parametrize(("symbols", "size"), [(2, 40), (3, 200), (6, 60), (40, 25)])
+def test_first_trigrams_of_alike_records_meet(symbols, size, threshold):
+    from lettermill.llm.prefixes import COUNTERS, first_trigrams
+    from lettermill.llm.tokensets import distinct_sorted, trigrams
+
+    rng = np.random.default_rng(symbols)
+    held = [rng.integers(0, symbols, rng.integers(20, size + 1)) for _ in range(40)]
+    asked = [np.concatenate((h[: k % 20], rng.integers(0, symbols + 1, k % 12), h[k % 20 + k % 5 :])) for k, h in enumerate(held)] + [np.tile(held[0][:6], 20)]
+    flat = lambda xs: (np.concatenate(xs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.cumsum([0, *map(len, xs)]))
+    grams = lambda xs: [set(v[a:b].tolist()) for v, at in [distinct_sorted(*trigrams(*flat(xs)))] for a, b in zip(at[:-1], at[1:], strict=True)]
+    x, y = grams(asked), grams(held)
+    want = {(i, j) for i, p in enumerate(x) for j, q in enumerate(y) if len(p & q) >= threshold * len(p | q)}
+    counts = rng.integers(0, 50, COUNTERS).astype(np.uint64)  # whatever the order, no pair is lost
+    left, right = (list(zip(*first_trigrams(*flat(xs), counts, threshold, side), strict=True)) for xs, side in ((asked, False), (held, True)))
+    met = set()
+    for key, i, n, p, bits in left:
+        for other, j, m, q, more in right:
+            shared = int(np.ceil(threshold / (1 + threshold) * (n + m) - 1e-9))
+            if key == other and p <= n - shared and q <= m - shared and np.bitwise_count((bits ^ more).view(np.uint64)).sum() <= n + m - 2 * shared:
+                met.add((i, j))
+    assert want <= met and want
+
+
 def test_weak_markup_lines_win_together():
     kinds = p6_markup.kinds
     assert kinds("Shopping:\n" + "".join(f"- item {k}\n" for k in range(30)) + "Bye") == ["markdown"]
